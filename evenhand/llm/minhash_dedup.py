@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenhand.llm.common import bin_texts, binary_rows, mix64, run_starts, runs, slim, table, written
+from evenhand.llm.common import bin_texts, binary_rows, mix64, run_starts, runs, ship, slim, table, written
 from evenhand.llm.components import components
 
 BLOCK = 256
@@ -205,6 +205,7 @@ def near_duplicates(
     is kept. Rows that share an id count as one document: all get the least component of any of them,
     and copies of the row are all returned. Other columns are ignored; an empty table gives none.
     """
+    ship(docs.sparkSession)
     hashes = bands * rows
     signed = written(signatures(docs, id_col, text_col, width, bands, rows, seed), "signatures")
     some = signed.where("digest IS NOT NULL AND id IS NOT NULL")

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from evenhand.llm.decontam import OP10_SQL, op10_decontam
 from evenhand.llm.minhash_dedup import op1_minhash_dedup
+from evenhand.llm.quality import op9_quality
+from evenhand.llm.suffix_dedup import op7_suffix_dedup
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_quality": op9_quality,
+    "op10_decontam": op10_decontam,
+}
+ORACLE_SQL: dict[str, str] = {"op10_decontam": OP10_SQL}
