@@ -43,18 +43,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
     state = _state(edges)
     if not state[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _nodes(edges)
     for _ in range(max_rounds):
         new = written(_small_star(_large_star(edges)), "edges")
         now = _state(new)
         drop_written(edges)
         edges = new
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _nodes(edges)
         state = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _nodes(stars: DataFrame) -> DataFrame:
+    centres = stars.select("v").distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres.select("v", "v"))
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     h = F.xxhash64("u", "v")
     row = edges.agg(F.count("*"), F.sum(F.col("u") % 1000003 * 31 + F.col("v") % 1000003), F.sum(F.shiftright(h, 20))).first()
