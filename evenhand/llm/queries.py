@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from evenhand.llm.decontam import OP10_SQL, op10_decontam
 from evenhand.llm.extendible_shards import OP3_SQL, op3_extendible_shards
 from evenhand.llm.line_dedup import OP6_SQL, op6_line_dedup
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_decontam": op10_decontam,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_extendible_shards": OP3_SQL,
