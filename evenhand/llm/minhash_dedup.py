@@ -10,8 +10,11 @@ its distinct ``width``-word shingles; a text of fewer words is one shingle, and
    one row a task). Only these representatives go on.
 3. Each bucket of a band links its members to its least id: a star, never all pairs. Stars whose
    signatures can't reach the threshold go; the others are confirmed on full sets.
-4. Buckets of three or more that still hold two components are searched for all remaining pairs in
-   blocks of bounded size, so no link between different texts is lost to the star.
+4. Buckets of three or more that still hold two components go on in blocks of bounded size. First each
+   member meets its nearest and the block's most central member, which joins what a star around the
+   least id missed with a number of pairs linear in the bucket. What is still apart but near by
+   signature forms families; in these all pairs of different components are compared on full sets
+   inside their unit, which returns a spanning forest, so no link between different texts is lost.
 5. Components by alternating large-star and small-star.
 
 At similarity s the chance that a pair shares no band is (1 - s**rows)**bands: 5e-8 at 0.8 and 6e-11
@@ -31,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenhand.llm.common import bin_texts, binary_rows, mix64, run_starts, runs, ship, slim, table, written
+from evenhand.llm.common import bin_texts, binary_rows, min_labels, mix64, run_starts, runs, ship, slim, table, written
 from evenhand.llm.components import components
 
 BLOCK = 256
+#: Ids that may be broadcast (8 bytes each) to pick the texts to compare; beyond, the texts are shuffled.
+FEW_IDS = 500_000
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -120,8 +125,9 @@ def _least_agreement(threshold: int, hashes: int) -> int:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= threshold * union. texts: (id, text as binary)."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    found = texts.join(wanted, "id")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    few = wanted.limit(FEW_IDS + 1).count() <= FEW_IDS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "id")
     joined = (
         pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -150,42 +156,107 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
     return joined.mapInArrow(confirm, "a long, b long").distinct()
 
 
-def _untested(members: DataFrame, least: int, hashes: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures are near; members: (key, cnt, id, comp, sig).
+def _blocks(members: DataFrame, group: str, carried: list[str]) -> DataFrame:
+    """Units (group, p, q) of pairs of blocks of about BLOCK members, so memory is bounded whatever the group's size.
 
-    A bucket is cut into blocks of about BLOCK members and each pair of blocks is a unit of its own, so
-    memory is bounded whatever the bucket's size.
+    members has group, cnt (its size) and id; each goes to all units of its block ``i``.
     """
     k = F.ceil(F.col("cnt") / BLOCK).cast("int")
-    units = (
-        members.withColumn("k", k)
-        .withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-        .withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-        .select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "comp", "sig")
-    )
+    units = members.withColumn("k", k).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
+    units = units.select(group, F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "comp", "sig", *carried)
+    return units.repartition(group, "p", "q").sortWithinPartitions(group, "p", "q")
+
+
+def _sides(batches: Iterator[pa.RecordBatch], group: str, least: int, hashes: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(table, rows x, rows y, agreement) of each unit; agreement is 0 where too low or the component is the same."""
+    for tab in runs(batches, [group, "p", "q"]):
+        starts = [*run_starts(tab, [group, "p", "q"]), tab.num_rows]
+        sig, side = binary_rows(tab.column("sig"), hashes), tab.column("i").to_numpy()
+        comp, p, q = (tab.column(c).to_numpy() for c in ("comp", "p", "q"))
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            x = np.arange(s, e) if p[s] == q[s] else s + np.flatnonzero(side[s:e] == p[s])
+            y = x if p[s] == q[s] else s + np.flatnonzero(side[s:e] == q[s])
+            if len(x) and len(y):
+                same = np.stack([(sig[y] == sig[r]).sum(axis=1) for r in x])
+                same[(same < least) | (comp[x][:, None] == comp[y])] = 0
+                yield tab, x, y, same
+
+
+def _pair_batch(found: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _nearest(members: DataFrame, least: int, hashes: int) -> DataFrame:
+    """For each member of a bucket its pair with the nearest member of another component and with the most central one."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tab in runs(batches, ["key", "p", "q"]):
-            starts = [*run_starts(tab, ["key", "p", "q"]), tab.num_rows]
-            sig, side = binary_rows(tab.column("sig"), hashes), tab.column("i").to_numpy()
+        found: set[tuple[int, int]] = set()
+        for tab, x, y, same in _sides(batches, "key", least, hashes):
+            ids = tab.column("id").to_numpy()
+            hub = np.full(len(x), same.sum(axis=0).argmax())
+            r = np.concatenate([np.arange(len(x)), same.argmax(axis=0), np.arange(len(x))])
+            c = np.concatenate([same.argmax(axis=1), np.arange(len(y)), hub])
+            r, c = r[same[r, c] > 0], c[same[r, c] > 0]
+            a, b = ids[x[r]], ids[y[c]]
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            if len(found) > 50_000:
+                yield from _pair_batch(found)
+                found = set()
+        yield from _pair_batch(found)
+
+    return _blocks(members, "key", []).mapInArrow(near, "a long, b long").distinct()
+
+
+def _families(members: DataFrame, least: int, hashes: int) -> DataFrame:
+    """(id, family) of members whose signatures connect them to another component; from spanning forests of units."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab, x, y, same in _sides(batches, "key", least, hashes):
+            r, c = np.nonzero(same)
+            low = np.unique(np.concatenate([x, y]))
+            label = min_labels(len(low), np.searchsorted(low, x[r]), np.searchsorted(low, y[c]))
+            ids = tab.column("id").to_numpy()[low]
+            own = np.flatnonzero(label != np.arange(len(low)))
+            yield from _pair_batch(set(zip(ids[own].tolist(), ids[label[own]].tolist(), strict=True)))
+
+    edges = _blocks(members, "key", []).mapInArrow(forest, "a long, b long").distinct()
+    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
+
+
+def _family_links(members: DataFrame, width: int, threshold: int, least: int, hashes: int) -> DataFrame:
+    """Links that join components inside families, from full sets: all pairs are compared in their unit, a forest goes out.
+
+    members: (family, cnt, id, comp, sig, text).
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab, x, y, same in _sides(batches, "family", least, hashes):
             ids, comp = tab.column("id").to_numpy(), tab.column("comp").to_numpy()
-            p, q = tab.column("p").to_numpy(), tab.column("q").to_numpy()
-            out_a, out_b = [], []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                for r in range(s, e):
-                    if p[s] == q[s]:
-                        other = np.arange(r + 1, e)
-                    elif side[r] == p[s]:
-                        other = s + np.flatnonzero(side[s:e] == q[s])
-                    else:
-                        continue
-                    other = other[comp[other] != comp[r]]
-                    other = other[(sig[other] == sig[r]).sum(axis=1) >= least]
-                    out_a.append(np.minimum(ids[r], ids[other])), out_b.append(np.maximum(ids[r], ids[other]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    return units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(near, "a long, b long").distinct()
+            text = tab.column("text")
+            sets = {r: shingle_set(text[r].as_py(), width) for r in np.unique(np.concatenate([x, y])).tolist()}
+            root = {c: c for c in np.unique(np.concatenate([comp[x], comp[y]])).tolist()}
+
+            def find(c: int, root=root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            links = set()
+            for r, c in zip(*(z.tolist() for z in np.nonzero(same)), strict=True):
+                u, v = find(int(comp[x[r]])), find(int(comp[y[c]]))
+                if u == v:
+                    continue
+                p, q = sets[int(x[r])], sets[int(y[c])]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= threshold * (len(p) + len(q) - both):
+                    root[max(u, v)] = min(u, v)
+                    links.add((int(ids[x[r]]), int(ids[y[c]])))
+            yield from _pair_batch(links)
+
+    return _blocks(members, "family", ["text"]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -226,14 +297,30 @@ def near_duplicates(
     links = written(_confirmed(tested, texts, width, threshold), "links")
     found = components(links)
 
-    placed = members.where("cnt > 2").join(found, F.col("id") == F.col("node"), "left").select("key", "cnt", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key").join(reps.select("id", "sig"), "id")
-    more = written(_untested(rest, _least_agreement(threshold, hashes), hashes).join(tested, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        again = written(_confirmed(more, texts, width, threshold), "links")
-        if not again.isEmpty():
-            found = components(links.union(again))
+    several, least = members.where("cnt > 2"), _least_agreement(threshold, hashes)
+
+    def unsettled() -> DataFrame:
+        placed = several.join(found, F.col("id") == F.col("node"), "left").select("key", "cnt", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return placed.join(mixed, "key").join(reps.select("id", "sig"), "id")
+
+    near = written(_nearest(unsettled(), least, hashes).join(tested, ["a", "b"], "left_anti"), "near")
+    if not near.isEmpty():
+        links = links.union(written(_confirmed(near, texts, width, threshold), "links"))
+        found = components(links)
+        rest = written(unsettled(), "rest")
+        families = _families(rest, least, hashes)
+        sizes = families.groupBy("family").agg(F.count("*").alias("cnt"))
+        comps = rest.groupBy("id").agg(F.min("comp").alias("comp"))
+        wanted = written(families.join(sizes, "family").join(comps, "id").join(reps.select("id", "sig"), "id"), "families")
+        if not wanted.isEmpty():
+            few = wanted.limit(FEW_IDS + 1).count() <= FEW_IDS
+            ids = wanted.select(F.col("id").alias("wanted"))
+            some = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted"), "left_semi")
+            last = written(_family_links(wanted.join(some, "id"), width, threshold, least, hashes), "links")
+            if not last.isEmpty():
+                links = links.union(last)
+                found = components(links)
 
     # rows that share an id are one document: link the classes their texts fall in
     by_row = signed.select("id", "n", "digest").join(classes, "digest", "left").join(found, F.col("rep") == F.col("node"), "left")
