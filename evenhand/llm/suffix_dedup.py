@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import bin_texts, mix64, run_starts, runs, ship, table, written
 
 BUFFER = 1 << 19
+HOT_BLOCK = 2000
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -247,23 +248,45 @@ def _repeated_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for hot groups: equal surroundings collapse, then single strings are counted."""
+    """The same for hot groups.
+
+    Equal surroundings collapse; the others of a group are dealt over blocks. A string that repeats inside
+    its block is known there, and one row stands for it outside; all strings are then counted over blocks.
+    """
     keyed = contexts.withColumn("key", F.md5(F.concat(F.encode(F.concat_ws("|", "rank", "back", F.lit("")), "utf-8"), F.col("ctx"))))
-    distinct = written(keyed.groupBy("key", "ctx").agg(F.sum(F.size("pos")).alias("times")), "surroundings")
+    distinct = written(keyed.groupBy("rank", "key", "ctx").agg(F.sum(F.size("pos")).alias("times")), "surroundings")
+    sizes = distinct.groupBy("rank").agg(F.count("*").alias("n")).withColumnRenamed("rank", "r")
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / HOT_BLOCK)).cast("int")
+    dealt = distinct.join(sizes, F.col("rank") == F.col("r")).select("rank", block.alias("block"), "key", "ctx", "times")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 1000):
-                batch = big.slice(i, 1000)
-                owner, place, h = _string_hashes(batch.column(1).to_pylist(), length)
-                take = pa.array(owner)
+        for tab in runs(batches, ["rank", "block"]):
+            starts = [*run_starts(tab, ["rank", "block"]).tolist(), tab.num_rows]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                part = tab.slice(s, e - s).combine_chunks()
+                owner, place, h = _string_hashes(part.column("ctx").to_pylist(), length)
+                every, first, group = np.unique(h, return_index=True, return_inverse=True)
+                times = np.bincount(group, part.column("times").to_numpy()[owner]).astype(np.int64)
+                again = times[group] >= 2
+                where = np.split(place[again], np.cumsum(np.bincount(owner[again], minlength=e - s))[:-1])
+                some = [i for i, x in enumerate(where) if len(x)]
+                key = part.column("key").combine_chunks() if isinstance(part.column("key"), pa.ChunkedArray) else part.column("key")
+                yield pa.RecordBatch.from_arrays(
+                    [key.take(pa.array(some, pa.int64())), pa.array([where[i].tolist() for i in some], pa.list_(pa.int32())), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())],
+                    names=["key", "places", "h", "times"],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), batch.column(2).take(take)], names=["key", "place", "h", "times"]
+                    [key.take(pa.array(owner[first])), pa.array([[x] for x in place[first].tolist()], pa.list_(pa.int32())), pa.array(every.view(np.int64)), pa.array(times)],
+                    names=["key", "places", "h", "times"],
                 )
 
-    single = written(distinct.mapInArrow(strings, "key string, place int, h long, times long"), "strings")
-    repeated = single.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    places = single.join(repeated, "h").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    dealt = dealt.repartition("rank", "block").sortWithinPartitions("rank", "block")
+    single = written(dealt.mapInArrow(strings, "key string, places array<int>, h long, times long"), "strings")
+    counted = single.where("h IS NOT NULL")
+    repeated = counted.groupBy("h").agg(F.sum("times").alias("n"), F.max("times").alias("most")).where("n > 1 AND most < n").select(F.col("h").alias("same"))
+    outside = counted.where("times = 1").join(repeated, F.col("h") == F.col("same")).select("key", "places")
+    places = single.where("h IS NULL").select("key", "places").union(outside)
+    places = places.groupBy("key").agg(F.array_distinct(F.sort_array(F.flatten(F.collect_list("places")))).alias("places"))
     hit = keyed.select("id", "th", "key", "pos").join(places, "key").select("id", "th", "pos", "places")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
