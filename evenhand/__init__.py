@@ -1,0 +1,5 @@
+"""Group-fairness analytics and training-data preparation on Spark DataFrames."""
+
+from evenhand.frame import FairFrame
+
+__all__ = ["FairFrame"]
