@@ -90,7 +90,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: in
     """Boosted trees for the log loss; each split is the best over histograms of gradients."""
     none = np.empty((0, 2**depth - 1), np.int64)
     p = y.mean() if len(y) else 0.5
-    if not 0 < p < 1:
+    if not len(y) or not 0 < p < 1:
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Trees(depth, float(np.log(p / (1 - p))), none, none.astype(float), np.empty((0, 2**depth)))
     n, f = x.shape
