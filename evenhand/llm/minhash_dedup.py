@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from evenhand.llm.common import bin_texts, binary_rows, min_labels, mix64, run_starts, runs, ship, slim, table, written
 from evenhand.llm.components import components
 
-BLOCK = 256
+BLOCK = 1024
 #: Ids that may be broadcast (8 bytes each) to pick the texts to compare; beyond, the texts are shuffled.
 FEW_IDS = 500_000
 

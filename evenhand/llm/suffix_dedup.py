@@ -207,7 +207,7 @@ def _stretches(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _repeated_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(id, th, s, e) of repeated strings inside the groups of one rank; no group is hot."""
+    """(id, th, spans) of repeated strings inside the groups of one rank; no group is hot. spans is start, end, start, ..."""
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -234,17 +234,14 @@ def _repeated_spans(contexts: DataFrame, length: int) -> DataFrame:
         repeated = np.bincount(group, times[owner])[group] >= 2
         o, first, last = _stretches(owner[repeated], place[repeated])
         begin, end = np.searchsorted(o, which), np.searchsorted(o, which, "right")
-        rows, s, e = [], [], []
-        for r in np.flatnonzero(end > begin).tolist():
-            for j in range(begin[r], end[r]):
-                for p in pos[r]:
-                    rows.append(r), s.append(p + int(first[j])), e.append(p + int(last[j]) + length)
+        rows, flat = np.flatnonzero(end > begin).tolist(), []
+        for r in rows:
+            ends = [(int(first[j]), int(last[j]) + length) for j in range(begin[r], end[r])]
+            flat.append([p + x for p in pos[r] for se in ends for x in se])
         take = pa.array(rows, pa.int64())
-        yield from pa.Table.from_arrays(
-            [tab.column("id").take(take), tab.column("th").take(take), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["id", "th", "s", "e"]
-        ).to_batches()
+        yield from pa.Table.from_arrays([tab.column("id").take(take), tab.column("th").take(take), pa.array(flat, pa.list_(pa.int32()))], names=["id", "th", "spans"]).to_batches()
 
-    return contexts.repartition("rank").sortWithinPartitions("rank").mapInArrow(rerank, "id long, th long, s int, e int")
+    return contexts.repartition("rank").sortWithinPartitions("rank").mapInArrow(rerank, "id long, th long, spans array<int>")
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -291,19 +288,14 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, s, e = [], [], []
-            for r, (pos, places_) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            flat = []
+            for pos, places_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x = np.array(places_)
                 _, first, last = _stretches(np.zeros(len(x), np.int64), x)
-                for f, t in zip(first.tolist(), last.tolist(), strict=True):
-                    for p in pos:
-                        rows.append(r), s.append(p + f), e.append(p + t + length)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["id", "th", "s", "e"]
-            )
+                flat.append([p + x for p in pos for f, t in zip(first.tolist(), last.tolist(), strict=True) for x in (f, t + length)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.int32()))], names=["id", "th", "spans"])
 
-    return hit.mapInArrow(unfold, "id long, th long, s int, e int")
+    return hit.mapInArrow(unfold, "id long, th long, spans array<int>")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -311,7 +303,7 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the texts as (id, th, text) and, for each with repeated strings, its spans as [s, e) byte pairs."""
+    """(texts, spans): the texts as (id, th, text) and, for each with repeated strings, its spans as start, end, start, ..."""
     if length < 4:
         raise ValueError("length must be 4 at least")
     ship(docs.sparkSession)
@@ -335,7 +327,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         contexts = written(contexts, "contexts")
         spans = _repeated_spans(contexts.where("NOT hot"), length).union(_hot_spans(contexts.where("hot"), length))
-    return rows, spans.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return rows, spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 4000) -> DataFrame:
@@ -355,7 +347,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sizes, removed, count, kept = [], [], [], []
             for text, found in zip(bin_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                for x in sorted((x["s"], x["e"]) for x in found or []):
+                found = found or []
+                for x in sorted(zip(found[::2], found[1::2], strict=True)):
                     if merged and x[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x[1])
                     else:

@@ -9,7 +9,7 @@ from evenhand.frame import FairFrame
 from evenhand.functions.draws import uniform
 from evenhand.functions.ranks import ranked
 from evenhand.operators.linear import Logistic
-from evenhand.operators.oversample import _smote_rows
+from evenhand.operators.oversample import _given_back, _smote_rows, owned
 
 
 def weighted_vote(votes: list[Column], weights: list[float], values: list) -> Column:
@@ -90,12 +90,12 @@ class MaskedClassifier:
         return MaskedModel(base.fit(ff.df), ff.sens, members, weights, values, ff.label)
 
     def _balanced(self, ff: FairFrame, train: DataFrame, member: int) -> DataFrame:
-        cells = train.withColumn("cell", F.col(ff.sens).cast("string"))
+        swapped = owned(FairFrame(train, ff.sens, ff.label, key=(self.key,), priv=ff.priv, pos=ff.pos))
+        cells = swapped.df.withColumn("cell", F.col(swapped.sens).cast("string"))
         sizes = {r[0]: r[1] for r in cells.groupBy("cell").count().collect()}  # one row a group
         if len(sizes) < 2 or min(sizes.values()) <= self.k:
             return train
         top = max(sizes.values())
         plan = train.sparkSession.createDataFrame([(c, n, top - n) for c, n in sizes.items()], "cell string, n long, need long")
-        swapped = FairFrame(train, ff.sens, ff.label, key=(self.key,), priv=ff.priv, pos=ff.pos)
-        new = _smote_rows(swapped, cells, plan, self.seed + member, self.k, "mask")
+        new = _given_back(_smote_rows(swapped, cells, plan, self.seed + member, self.k, "mask").drop("cell", "j"))
         return train.select(*ff.numeric, ff.sens).unionByName(new.select(*[F.col(c).cast(train.schema[c].dataType).alias(c) for c in (*ff.numeric, ff.sens)]))

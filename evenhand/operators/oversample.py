@@ -17,6 +17,8 @@ from evenhand.functions.draws import pick, uniform
 from evenhand.functions.ranks import indexed
 from evenhand.operators.neighbors import knn, local_density, typology
 
+#: Put before the frame's own column names while rows are made, so that none clashes with a working column.
+OWN = "f__"
 METHODS = ("de", "side_smote", "typology", "hetero")
 
 
@@ -29,6 +31,18 @@ class Oversampled:
     plan: DataFrame
 
 
+def plain(name: str) -> str:
+    return name.removeprefix(OWN)
+
+
+def owned(ff: FairFrame) -> FairFrame:
+    return FairFrame(ff.df.toDF(*[OWN + c for c in ff.df.columns]), OWN + ff.sens, OWN + ff.label, key=tuple(OWN + k for k in ff.key), priv=ff.priv, pos=ff.pos)
+
+
+def _given_back(df: DataFrame) -> DataFrame:
+    return df.toDF(*[plain(c) for c in df.columns])
+
+
 def _cast(value: Column, kind: T.DataType) -> Column:
     return F.rint(value).cast(kind) if isinstance(kind, T.IntegralType) else value.cast(kind)
 
@@ -84,14 +98,14 @@ def differential(ff: FairFrame, seed: int = 42, k: int = 5, cr: float = 0.8, f:
     out = []
     for c in columns:
         kind = ff.df.schema[c].dataType
-        keep = (uniform(seed, name, F.col("cell"), F.col("j"), "cross", c) >= cr) | (F.col("n") < 3)
+        keep = (uniform(seed, name, F.col("cell"), F.col("j"), "cross", plain(c)) >= cr) | (F.col("n") < 3)
         if c in ff.numeric:
             v = F.col(c).cast("double") + F.lit(f) * (F.col(f"a_{c}").cast("double") - F.col(f"b_{c}").cast("double"))
             if clip:
                 v = F.least(F.greatest(v, F.col(f"lo_{c}").cast("double")), F.col(f"hi_{c}").cast("double"))
             out.append(F.when(keep, F.col(c)).otherwise(_cast(v, kind)).alias(c))
         elif c in feats:
-            u = pick(seed, F.lit(3), name, F.col("cell"), F.col("j"), "which", c)
+            u = pick(seed, F.lit(3), name, F.col("cell"), F.col("j"), "which", plain(c))
             out.append(F.when(keep | (u == 0), F.col(c)).when(u == 1, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c))
         else:
             out.append(F.col(c))
@@ -141,7 +155,7 @@ def _interpolated(ff: FairFrame, x: DataFrame, seed: int, name: str) -> DataFram
             v = F.col(c).cast("double") + r * (F.col(f"a_{c}").cast("double") - F.col(c).cast("double"))
             out.append(F.when(F.col("ka").isNull(), F.col(c)).otherwise(_cast(v, kind)).alias(c))
         elif c in ff.others:
-            u = uniform(seed, name, F.col("cell"), F.col("j"), "which", c)
+            u = uniform(seed, name, F.col("cell"), F.col("j"), "which", plain(c))
             out.append(F.when(F.col("ka").isNull() | (u < 0.5), F.col(c)).otherwise(F.col(f"a_{c}")).alias(c))
         else:
             out.append(F.col(c))
@@ -245,7 +259,7 @@ def heterogeneous(ff: FairFrame, seed: int = 42, k: int = 5) -> Oversampled:
             v = F.col(c).cast("double") + F.col("w") * (F.col(f"a_{c}").cast("double") - F.col(c).cast("double")) * factor
             out.append(F.when(F.col("has").isNull(), F.col(c)).otherwise(_cast(v, kind)).alias(c))
         elif c in ff.others:
-            u = uniform(seed, name, F.col("cell"), F.col("j"), "which", c)
+            u = uniform(seed, name, F.col("cell"), F.col("j"), "which", plain(c))
             out.append(F.when(F.col("has").isNull() | (u < 0.5), F.col(c)).otherwise(F.col(f"a_{c}")).alias(c))
         else:
             out.append(F.col(c))
@@ -259,4 +273,6 @@ def oversample(ff: FairFrame, method: str, **options) -> Oversampled:
     if len(ff.key) != 1:
         raise ValueError("oversampling needs one key column")
     ff.check(binary=method != "de")
-    return {"de": differential, "side_smote": side_smote, "typology": by_typology, "hetero": heterogeneous}[method](ff, **options)
+    make = {"de": differential, "side_smote": side_smote, "typology": by_typology, "hetero": heterogeneous}[method]
+    out = make(owned(ff), **options)
+    return Oversampled(_given_back(out.df), _given_back(out.synthetic), out.plan)

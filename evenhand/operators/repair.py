@@ -84,17 +84,17 @@ class RepairModel:
         s = self.sens
         ends = edges.where((F.col("j") == 0) | (F.col("j") == b)).groupBy(s).agg(F.min("q").alias("_lo"), F.max("q").alias("_hi")).withColumnRenamed(s, "_s")
         rows = df.join(ends, F.col(s) == F.col("_s"), "left").withColumn("_v", F.least(F.greatest(F.col(col).cast("double"), "_lo"), "_hi"))
-        values = rows.where(F.col("_v").isNotNull()).select(F.col(s).alias("g"), F.col("_v").alias("v")).distinct()
-        inner = edges.where((F.col("j") > 0) & (F.col("j") < b)).select(F.col(s).alias("g"), F.col("q").alias("v"), F.col("j"))
+        values = rows.where(F.col("_v").isNotNull()).select(F.col(s).alias("_g"), F.col("_v").alias("_at")).distinct()
+        inner = edges.where((F.col("j") > 0) & (F.col("j") < b)).select(F.col(s).alias("_g"), F.col("q").alias("_at"), F.col("j"))
         # as-of: the last inner edge at most v, over edges and probes in bins of v
-        both = binned(inner.select("g", "v", F.col("j").cast("long").alias("j"), F.lit(0).alias("probe")).union(values.select("g", "v", F.lit(None).cast("long"), F.lit(1))), "v")
-        top = both.groupBy("g", "_bin").agg(F.max("j").alias("top"))
-        before = F.max("top").over(Window.partitionBy("g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-        offset = top.select("g", "_bin", F.coalesce(before, F.lit(0)).alias("below"))
-        here = F.max("j").over(Window.partitionBy("g", "_bin").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
-        found = both.join(offset, ["g", "_bin"]).withColumn("bucket", F.coalesce(here, "below")).where("probe = 1").select("g", "v", "bucket").join(targets, "bucket")
-        out = rows.join(found.select("g", "v", "target"), (F.col(s) == F.col("g")) & (F.col("_v") == F.col("v")), "left")
-        moved = (1 - self.lam) * F.col("_v") + self.lam * F.col("target")
+        both = binned(inner.select("_g", "_at", F.col("j").cast("long").alias("j"), F.lit(0).alias("probe")).union(values.select("g", "v", F.lit(None).cast("long"), F.lit(1))), "_at")
+        top = both.groupBy("_g", "_bin").agg(F.max("j").alias("top"))
+        before = F.max("top").over(Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+        offset = top.select("_g", "_bin", F.coalesce(before, F.lit(0)).alias("below"))
+        here = F.max("j").over(Window.partitionBy("_g", "_bin").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+        found = both.join(offset, ["_g", "_bin"]).withColumn("bucket", F.coalesce(here, "below")).where("probe = 1").select("_g", "_at", "bucket").join(targets, "bucket")
+        out = rows.join(found.select("_g", "_at", F.col("target").alias("_target")), (F.col(s) == F.col("_g")) & (F.col("_v") == F.col("_at")), "left")
+        moved = (1 - self.lam) * F.col("_v") + self.lam * F.col("_target")
         other = F.lit(0.0) if self.unseen == "zero" else F.col(col).cast("double")
         return out.withColumn(col, F.when(F.col("_s").isNull(), other).otherwise(moved)).select(*df.columns)
 
