@@ -7,22 +7,28 @@ shingles, or the line itself if it is shorter.
 Signatures take the shingles that begin a word, which sample the set by content and so keep its
 similarity; short lines, and lines of long words or none, take all shingles, and lines near either limit
 are signed both ways. BANDS bands of ROWS minima give candidates: at similarity s a pair is missed with
-(1 - s**ROWS)**BANDS, 0.2 % at 0.8 and 1e-4 at 0.85. Each bucket links its members to its least line;
-the pairs are confirmed by exact Jaccard similarity on all shingles. Buckets of more than two lines that
-still hold several components then have all remaining pairs compared inside the join. Components come
-from alternating large-star and small-star; of each the first line (least id, then line number) stays.
+(1 - s**ROWS)**BANDS, 0.3 % at 0.8 and 5e-4 at 0.85. Each bucket links its members to its least line;
+the pairs are confirmed by exact Jaccard similarity on all shingles. In buckets of more than two lines
+that still hold several components, lines of different components are compared by signature inside the
+join, and only pairs that may reach the threshold come out to be confirmed. Components come from
+alternating large-star and small-star; of each the first line (least id, then line number) stays.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import drop_written, table, written
 from evenhand.llm.components import components
 
-SHINGLE, ROWS, BANDS = 8, 4, 12
+SHINGLE, ROWS, BANDS = 8, 3, 8
+LOW = (1 << 31) - 1
 SHORT, LONG_WORD = 64, 12
+#: Ids that may be broadcast to pick the lines to compare.
+FEW_IDS = 500_000
 
 
 def _all_shingles(line: Column) -> Column:
@@ -30,75 +36,108 @@ def _all_shingles(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The set of a line, as an array of distinct strings."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(_all_shingles(line)))
+    """The set of a line, as an array that may repeat its members."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_all_shingles(line))
+
+
+def _whole(line: Column) -> Column:
+    """Whether a line is signed by all its shingles."""
+    n = F.length(line)
+    return (n <= SHORT * 5 / 4) | (n >= _words(line) * (LONG_WORD - 2))
+
+
+def _words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(lid, mode, m0..) of each line, from explode and one aggregate of minima."""
-    n = F.length("line")
-    words = n - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    every = (n <= SHORT * 5 / 4) | (n >= words * (LONG_WORD - 2))
-    some = (n > SHORT * 4 / 5) & (n < words * (LONG_WORD + 3))
-    word_starts = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^ ])(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
-    whole = F.when(n < SHINGLE, F.array("line")).otherwise(_all_shingles(F.col("line")))
-    full = lines.where(every).select("lid", F.lit(0).alias("mode"), F.explode(whole).alias("s"))
-    few = lines.where(some).select("lid", F.lit(1).alias("mode"), F.explode(word_starts).alias("s"))
-    return full.union(few).select("lid", "mode", F.xxhash64("s").alias("x"))
-
-
-def _minima(hashed: DataFrame) -> DataFrame:
-    low = F.col("x").bitwiseAND(F.lit((1 << 31) - 1))
+    """(lid, mode, sig) for each way of signing a line; sig holds the minima."""
+    line = F.col("line")
+    some = (F.length(line) > SHORT * 4 / 5) & (F.length(line) < _words(line) * (LONG_WORD + 3))
+    modes = F.when(_whole(line) & some, F.array(F.lit(0), F.lit(1))).when(_whole(line), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    word_starts = F.regexp_extract_all(line, F.lit(f"(?s)(?<![^ ])(?=(.{{1,{SHINGLE}}}))"), F.lit(1))
+    parts = lines.select("lid", "line", F.explode(modes).alias("mode")).select("lid", "mode", F.explode(F.when(F.col("mode") == 0, shingles(line)).otherwise(word_starts)).alias("s"))
+    hashed = parts.select("lid", "mode", F.xxhash64("s").bitwiseAND(F.lit(LOW)).alias("x"))
     aggs = []
     for i in range(ROWS * BANDS):
-        a, b = (0x5851F42D * (2 * i + 3) | 1) & 0x7FFFFFFF, (0x14057B7E * (i + 7)) & 0x7FFFFFFF
-        # a * low + b stays below 2**62; the top bits after the fold are the value
-        v = (low * F.lit(a) + F.lit(b)).bitwiseXOR(F.shiftright(F.col("x"), 33))
-        aggs.append(F.min(F.pmod(v, F.lit(2147483647)).cast("int")).alias(f"m{i}"))
-    return hashed.groupBy("lid", "mode").agg(*aggs)
+        # an odd factor permutes the numbers below 2**31; the product stays below 2**62
+        a, b = (0x5851F42D * (2 * i + 3) | 1) & LOW, (0x14057B7E * (i + 7)) & LOW
+        aggs.append(F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(LOW)).cast("int")).alias(f"m{i}"))
+    return hashed.groupBy("lid", "mode").agg(*aggs).select("lid", "mode", F.array(*[f"m{i}" for i in range(ROWS * BANDS)]).alias("sig"))
+
+
+def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose lid is in ``ids`` (wanted), which is broadcast up to FEW_IDS rows of 8 bytes; beyond, the rows are shuffled."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, F.col("lid") == F.col("wanted"), "left_semi")
 
 
-def _bands(signed: DataFrame) -> DataFrame:
-    keys = [F.xxhash64(F.lit(b), "mode", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("lid", F.explode(F.array(*keys)).alias("key"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
+
+
+def _agree(x: str, y: str, threshold: int) -> Column:
+    """Whether two signatures are within four deviations of the threshold."""
+    t, n = threshold / 100, ROWS * BANDS
+    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, one: n + one)
+    return same >= math.floor(n * t - 4 * math.sqrt(n * t * (1 - t)))
+
+
+def _similar(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of pairs (a, b, mode) whose signatures agree."""
+    sigs = _picked(signed, _ends(pairs))
+    both = pairs.join(sigs.select(F.col("lid").alias("a"), "mode", F.col("sig").alias("x")), ["a", "mode"]).join(sigs.select(F.col("lid").alias("b"), "mode", F.col("sig").alias("y")), ["b", "mode"])
+    return both.where(_agree("x", "y", threshold)).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= threshold * union on all shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    sets = lines.join(wanted, "lid").select("lid", shingles(F.col("line")).alias("s"))
-    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("lid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    texts = _picked(lines.select("lid", "line"), _ends(pairs))
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    p, q = (F.transform(shingles(F.col(c)), lambda s: F.xxhash64(s)) for c in ("x", "y"))
+    # the generator keeps the comparison out of the join's own condition, and makes each set once
+    sets = both.select("a", "b", F.explode(F.array(F.struct(p.alias("p"), q.alias("q")))).alias("s"))
+    near = F.size(F.array_intersect("s.p", "s.q")) * 100 >= F.size(F.array_union("s.p", "s.q")) * threshold
+    return sets.where(near).select("a", "b")
+
+
+def _rest(members: DataFrame, signed: DataFrame, found: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components that share a bucket, agree by signature and aren't ``tested``; compared inside the join."""
+    placed = members.where("cnt > 2").join(found, F.col("lid") == F.col("node"), "left").select("key", "mode", "lid", F.coalesce("component", "lid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = written(placed.join(mixed, "key"), "rest")
+    sigs = written(_picked(signed, rest.select(F.col("lid").alias("wanted")).distinct()), "sigs")
+    rest = rest.join(sigs, ["lid", "mode"]).select("key", "lid", "comp", "sig")
+    other = rest.select(F.col("key").alias("key2"), F.col("lid").alias("lid2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
+    pairs = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _agree("sig", "sig2", threshold))
+    pairs = pairs.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
+    return written(pairs.join(tested, ["a", "b"], "left_anti"), "more")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, lines): (pos, h1, h2) of each line, and (h1, h2, keep) of each distinct line.
+    """(occurrences, lines): (pos, h1, h2) of each line, and (h1, h2, keep) of each distinct line that has another.
 
     pos orders lines by id and number in the text, as a decimal; keep is the pos of the line that stays.
+    Lines that occur once and are like no other are left out of the second.
     """
     texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("decimal(20,0)"), F.lit(-1)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     each = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select((F.col("id") * 4294967296 + F.col("no")).cast("decimal(38,0)").alias("pos"), F.trim("raw").alias("line")).where("line <> ''")
     h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2")
     occurrences = each.select("pos", h1, h2)
     # ids are fixed when the table is written
-    lines = written(each.groupBy("line").agg(F.min("pos").alias("pos")).select("line", "pos", F.monotonically_increasing_id().alias("lid")), "lines")
-
-    signed = written(_minima(_signed(lines)), "minima")
-    spread = _bands(signed)
-    buckets = spread.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"), F.count("*").alias("cnt")).where("last > lead")
-    buckets = written(buckets.select("key", "lead", "cnt"), "buckets")
-    members = written(spread.join(buckets, "key"), "members")
-    pairs = written(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "pairs")
+    distinct = each.groupBy("line").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))
+    lines = written(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    signed = written(_signed(lines), "signed")
+
+    keys = F.array(*[F.xxhash64(F.lit(b), "mode", *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+    spread = signed.select("lid", "mode", F.explode(keys).alias("key"))
+    buckets = spread.groupBy("key").agg(F.min("lid").alias("lead"), F.count("*").alias("cnt")).where("cnt > 1")
+    members = written(spread.join(written(buckets, "buckets"), "key"), "members")
+    stars = written(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"), "mode").distinct(), "stars")
+    pairs = written(_similar(stars, signed, threshold), "pairs")
     links = written(_confirmed(pairs, lines, threshold), "links")
     found = components(links)
-
-    placed = members.where("cnt > 2").join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key")
-    other = rest.select("key", F.col("lid").alias("lid2"), F.col("comp").alias("comp2"))
-    more = rest.join(other, "key").where("comp <> comp2 AND lid < lid2").select(F.col("lid").alias("a"), F.col("lid2").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    more = _rest(members, signed, found, pairs, threshold)
     if not more.isEmpty():
         again = written(_confirmed(more, lines, threshold), "links")
         if not again.isEmpty():
@@ -106,8 +145,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_written(signed, members)
     firsts = lines.select("lid", "pos").join(found, F.col("lid") == F.col("node")).groupBy("component").agg(F.min("pos").alias("keep"))
     in_comp = found.join(firsts, "component").select("node", "keep")
-    kept = lines.select(h1, h2, "pos", "lid").join(in_comp, F.col("lid") == F.col("node"), "left").select("h1", "h2", F.coalesce("keep", "pos").alias("keep"))
-    return occurrences, kept
+    kept = lines.select(h1, h2, "pos", "times", "lid").join(in_comp, F.col("lid") == F.col("node"), "left")
+    return occurrences, kept.where("times > 1 OR keep <> pos").select("h1", "h2", F.coalesce("keep", "pos").alias("keep"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
