@@ -87,7 +87,7 @@ class RepairModel:
         values = rows.where(F.col("_v").isNotNull()).select(F.col(s).alias("_g"), F.col("_v").alias("_at")).distinct()
         inner = edges.where((F.col("j") > 0) & (F.col("j") < b)).select(F.col(s).alias("_g"), F.col("q").alias("_at"), F.col("j"))
         # as-of: the last inner edge at most v, over edges and probes in bins of v
-        both = binned(inner.select("_g", "_at", F.col("j").cast("long").alias("j"), F.lit(0).alias("probe")).union(values.select("g", "v", F.lit(None).cast("long"), F.lit(1))), "_at")
+        both = binned(inner.select("_g", "_at", F.col("j").cast("long").alias("j"), F.lit(0).alias("probe")).union(values.select("_g", "_at", F.lit(None).cast("long"), F.lit(1))), "_at")
         top = both.groupBy("_g", "_bin").agg(F.max("j").alias("top"))
         before = F.max("top").over(Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
         offset = top.select("_g", "_bin", F.coalesce(before, F.lit(0)).alias("below"))
