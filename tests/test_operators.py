@@ -138,7 +138,7 @@ def test_neighbours_meet_numpy(spark, monkeypatch):
         assert [got[i, r] for r in range(1, 5)] == order[:4]
 
 
-@pytest.mark.parametrize(("method", "count"), [("de", 36), ("side_smote", 11), ("hetero", 36)])
+@pytest.mark.parametrize(("method", "count"), [("de", 36), ("side_smote", 12), ("hetero", 36)])
 def test_oversampling(skewed, method, count):
     out = oversample.oversample(skewed, method)
     rows = out.df.collect()
