@@ -262,3 +262,21 @@ def test_trees_meet_naive_traversal():
         assert abs(1 / (1 + np.exp(-z)) - s) < 1e-12
     assert ((t.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
     assert hashlib.sha256(t.leaf.tobytes()).hexdigest() == hashlib.sha256(quality.grow(x, y, trees=15, depth=3).leaf.tobytes()).hexdigest()
+
+
+def _pairs_found(spark, pairs):
+    """How many of the pairs of lines (least similarity 0.8 each) are reduced to their first line."""
+    for x, y in pairs:
+        p, q = ({t[j : j + 8] for j in range(len(t) - 7)} for t in (x, y))
+        assert 100 * len(p & q) >= 80 * len(p | q)
+    t = spark.createDataFrame([(i, x + "\n" + y) for i, (x, y) in enumerate(pairs)], "doc_id long, text string")
+    return sum(list(r["removed"]) == [1] for r in line_dedup.line_report(t).collect())
+
+
+def test_lines_with_short_tokens_put_in_are_found(spark):
+    r = random.Random(11)
+    pairs = []
+    for _ in range(60):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(20)]
+        pairs.append((" ".join(words), " ".join(words[:10] + r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12) + words[10:])))
+    assert _pairs_found(spark, pairs) == 60
