@@ -5,7 +5,8 @@ alone. Equal lines collapse first (pre-aggregated). The set of a line holds its
 shingles, or the line itself if it is shorter.
 
 All lines are signed in one way, by minima over all their shingles, so banding sees the similarity that is
-tested. BANDS bands of ROWS minima give candidates: at similarity s a pair is missed with
+tested, and no pair is outside it: two lines that share a shingle can meet in each band, whatever their
+lengths, words and blanks. BANDS bands of ROWS minima give candidates: at similarity s a pair is missed with
 (1 - s**ROWS)**BANDS, 0.3 % at 0.8 and 5e-4 at 0.85. Each bucket links its members to its least line;
 the pairs are confirmed by exact Jaccard similarity on all shingles. In buckets of more than two lines
 that still hold several components, lines of different components are compared by signature inside the

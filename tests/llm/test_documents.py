@@ -280,3 +280,14 @@ def test_lines_with_short_tokens_put_in_are_found(spark):
         words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(20)]
         pairs.append((" ".join(words), " ".join(words[:10] + r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12) + words[10:])))
     assert _pairs_found(spark, pairs) == 60
+
+
+def test_lines_whose_blanks_differ_are_found(spark):
+    r = random.Random(12)
+    pairs = []
+    for _ in range(20):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=14)) for _ in range(9)]
+        words.append("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=15)))
+        pairs.append((" ".join(words), " ".join(words[:5]) + " " * 10 + " ".join(words[5:])))
+    assert all(len(x) == 150 for x, _ in pairs)
+    assert _pairs_found(spark, pairs) == 20
