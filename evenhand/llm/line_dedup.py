@@ -7,10 +7,11 @@ shingles, or the line itself if it is shorter.
 All lines are signed in one way, by minima over all their shingles, so banding sees the similarity that is
 tested, and no pair is outside it: two lines that share a shingle can meet in each band, whatever their
 lengths, words and blanks. BANDS bands of ROWS minima give candidates: at similarity s a pair is missed with
-(1 - s**ROWS)**BANDS, 0.3 % at 0.8 and 5e-4 at 0.85. Each bucket links its members to its least line;
+(1 - s**ROWS)**BANDS, 8e-4 at 0.8 and 7e-5 at 0.85. Each bucket links its members to its least line;
 the pairs are confirmed by exact Jaccard similarity on all shingles. In buckets of more than two lines
-that still hold several components, lines of different components are compared by signature inside the
-join, and only pairs that may reach the threshold come out to be confirmed. Components come from
+that still hold several components, lines of different components are compared by size and signature
+inside the join, and only pairs that may reach the threshold come out. Of these each line's nearest is
+confirmed first; the pairs that are then still of different components are all confirmed. Components come from
 alternating large-star and small-star; of each the first line (least id, then line number) stays.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import drop_written, table, written
 from evenhand.llm.components import components
 
-SHINGLE, ROWS, BANDS = 8, 3, 8
+SHINGLE, ROWS, BANDS = 8, 3, 10
 LOW = (1 << 31) - 1
 #: Shingles cut from one substring of a line.
 CHUNK = 64
+#: Minima are compared by their low bytes, eight to a long; bytes that differ by chance agree once in 256.
+PACKED = [f"s{i}" for i in range(-(-ROWS * BANDS // 8))]
 #: Ids that may be broadcast to pick the lines to compare.
 FEW_IDS = 500_000
 
@@ -42,7 +45,7 @@ def shingles(line: Column) -> Column:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(lid, sig) of each line; sig holds the minima over all its shingles."""
+    """(lid, keys, PACKED) of each line: the keys of its bands and the low bytes of its minima, over all its shingles."""
     # cut into chunks first: a substring of a long line walks the line from its beginning
     chunks = lines.select("lid", F.explode(F.expr(f"transform(sequence(1, greatest(length(line) - {SHINGLE - 1}, 1), {CHUNK}), i -> substr(line, i, {CHUNK + SHINGLE - 1}))")).alias("c"))
     starts = chunks.select("lid", "c", F.explode(F.expr(f"sequence(1, greatest(length(c) - {SHINGLE - 1}, 1))")).alias("i"))
@@ -52,7 +55,14 @@ def _signed(lines: DataFrame) -> DataFrame:
         # an odd factor permutes the numbers below 2**31; the product stays below 2**62
         a, b = (0x5851F42D * (2 * i + 3) | 1) & LOW, (0x14057B7E * (i + 7)) & LOW
         aggs.append(F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(LOW)).cast("int")).alias(f"m{i}"))
-    return hashed.groupBy("lid").agg(*aggs).select("lid", F.array(*[f"m{i}" for i in range(ROWS * BANDS)]).alias("sig"))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    packed = []
+    for j, name in enumerate(PACKED):
+        word = F.lit(0).cast("long")
+        for k in range(min(8, ROWS * BANDS - 8 * j)):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{8 * j + k}").bitwiseAND(F.lit(255)).cast("long"), 8 * k))
+        packed.append(word.alias(name))
+    return hashed.groupBy("lid").agg(*aggs).select("lid", keys.alias("keys"), *packed)
 
 
 def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,18 +75,33 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
 
 
-def _agree(x: str, y: str, threshold: int) -> Column:
-    """Whether two signatures are within four deviations of the threshold."""
+def _agreement(x: list[str], y: list[str]) -> Column:
+    """How many minima of two signatures agree; bits and sums only, so that it is compiled into the join."""
+    differ = F.lit(0)
+    for p, q in zip(x, y, strict=True):
+        z = F.col(p).bitwiseXOR(F.col(q))
+        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(ROWS * BANDS) - differ
+
+
+def _least_agreement(threshold: int) -> int:
+    """Four deviations below what is expected at the threshold."""
     t, n = threshold / 100, ROWS * BANDS
-    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, one: n + one)
-    return same >= math.floor(n * t - 4 * math.sqrt(n * t * (1 - t)))
+    return math.floor(n * t - 4 * math.sqrt(n * t * (1 - t)))
+
+
+def _named(signed: DataFrame, lid: str, prefix: str) -> DataFrame:
+    return signed.select(F.col("lid").alias(lid), *[F.col(c).alias(prefix + c) for c in PACKED])
 
 
 def _similar(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     """(a, b) of pairs (a, b) whose signatures agree."""
     sigs = _picked(signed, _ends(pairs))
-    both = pairs.join(sigs.select(F.col("lid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("lid").alias("b"), F.col("sig").alias("y")), "b")
-    return both.where(_agree("x", "y", threshold)).select("a", "b").distinct()
+    both = pairs.join(_named(sigs, "a", "x_"), "a").join(_named(sigs, "b", "y_"), "b")
+    x, y = ([p + c for c in PACKED] for p in ("x_", "y_"))
+    return both.where(_agreement(x, y) >= _least_agreement(threshold)).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
@@ -90,17 +115,41 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return sets.where(near).select("a", "b")
 
 
-def _rest(members: DataFrame, signed: DataFrame, found: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components that share a bucket, agree by signature and aren't ``tested``; compared inside the join."""
+def _rest(members: DataFrame, signed: DataFrame, lines: DataFrame, found: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, same): pairs of different components that share a bucket, may reach the threshold and aren't ``tested``.
+
+    They are compared inside the join: at a similarity of t the smaller set has at least t of the larger
+    one's members, and the signatures agree.
+    """
     placed = members.where("cnt > 2").join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = written(placed.join(mixed, "key"), "rest")
-    sigs = written(_picked(signed, rest.select(F.col("lid").alias("wanted")).distinct()), "sigs")
-    rest = rest.join(sigs, "lid").select("key", "lid", "comp", "sig")
-    other = rest.select(F.col("key").alias("key2"), F.col("lid").alias("lid2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-    pairs = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _agree("sig", "sig2", threshold))
-    pairs = pairs.select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
-    return written(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+    ids = written(rest.select(F.col("lid").alias("wanted")).distinct(), "wanted")
+    sizes = _picked(lines, ids).select("lid", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
+    sigs = written(_picked(signed, ids).select("lid", *PACKED).join(sizes, "lid"), "sigs")
+    one = rest.join(sigs, "lid").select("key", "lid", "comp", "n", *PACKED)
+    two = one.select(*[F.col(c).alias(c + "_2") for c in one.columns])
+    agreement = _agreement(PACKED, [c + "_2" for c in PACKED])
+    sizes_fit = F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * threshold
+    both = one.join(two, (F.col("key") == F.col("key_2")) & (F.col("comp") < F.col("comp_2")) & sizes_fit & (agreement >= _least_agreement(threshold)))
+    pairs = both.select(F.least("lid", "lid_2").alias("a"), F.greatest("lid", "lid_2").alias("b"), agreement.alias("same")).distinct()
+    more = written(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+    drop_written(rest, sigs)
+    return more
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, same) that agree best for one of their lines: at most one a line."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "same")
+    best = ends.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose lines are of different components."""
+    x, y = (found.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in ("a", "b"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -118,20 +167,24 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = written(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
     signed = written(_signed(lines), "signed")
 
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    spread = signed.select("lid", F.explode(keys).alias("key"))
+    spread = signed.select("lid", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.min("lid").alias("lead"), F.count("*").alias("cnt")).where("cnt > 1")
     members = written(spread.join(written(buckets, "buckets"), "key"), "members")
     stars = written(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "stars")
     pairs = written(_similar(stars, signed, threshold), "pairs")
     links = written(_confirmed(pairs, lines, threshold), "links")
     found = components(links)
-    more = _rest(members, signed, found, pairs, threshold)
-    if not more.isEmpty():
-        again = written(_confirmed(more, lines, threshold), "links")
-        if not again.isEmpty():
-            found = components(links.union(again))
+    more = _rest(members, signed, lines, found, pairs, threshold)
     drop_written(signed, members)
+    if not more.isEmpty():
+        near = written(_nearest(more), "near")
+        links = links.union(written(_confirmed(near, lines, threshold), "links"))
+        found = components(links)
+        last = written(_apart(more.join(near, ["a", "b"], "left_anti"), found), "apart")
+        if not last.isEmpty():
+            again = written(_confirmed(last, lines, threshold), "links")
+            if not again.isEmpty():
+                found = components(links.union(again))
     firsts = lines.select("lid", "pos").join(found, F.col("lid") == F.col("node")).groupBy("component").agg(F.min("pos").alias("keep"))
     in_comp = found.join(firsts, "component").select("node", "keep")
     kept = lines.select(h1, h2, "pos", "times", "lid").join(in_comp, F.col("lid") == F.col("node"), "left")

@@ -291,3 +291,19 @@ def test_lines_whose_blanks_differ_are_found(spark):
         pairs.append((" ".join(words), " ".join(words[:5]) + " " * 10 + " ".join(words[5:])))
     assert all(len(x) == 150 for x, _ in pairs)
     assert _pairs_found(spark, pairs) == 20
+
+
+def test_bands_miss_no_more_than_the_first_banding_and_agreement_counts_bytes(spark):
+    for s in (0.8, 0.85, 0.9):
+        assert (1 - s**line_dedup.ROWS) ** line_dedup.BANDS <= (1 - s**4) ** 12
+    n = line_dedup.ROWS * line_dedup.BANDS
+    r = random.Random(13)
+    rows = []
+    for k in range(n + 1):
+        x = [r.randrange(256) for _ in range(n)]
+        y = [v if i >= k else v ^ r.choice([1, 2, 16, 128, 255]) for i, v in enumerate(x)]
+        words = [[int.from_bytes(bytes(z[i : i + 8]), "little", signed=len(z[i : i + 8]) == 8) for i in range(0, n, 8)] for z in (x, y)]
+        rows.append((n - k, *words[0], *words[1]))
+    names = [[p + c for c in line_dedup.PACKED] for p in ("x_", "y_")]
+    t = spark.createDataFrame(rows, "want long, " + ", ".join(f"{c} long" for c in names[0] + names[1]))
+    assert t.where(line_dedup._agreement(*names) != F.col("want")).count() == 0
