@@ -308,7 +308,9 @@ def near_duplicates(
     if not near.isEmpty():
         links = links.union(written(_confirmed(near, texts, width, threshold), "links"))
         found = components(links)
-        rest = written(unsettled(), "rest")
+    # also where nothing new is near: a nearest line that was tested may hide a pair that wasn't
+    rest = written(unsettled(), "rest")
+    if not rest.isEmpty():
         families = _families(rest, least, hashes)
         sizes = families.groupBy("family").agg(F.count("*").alias("cnt"))
         comps = rest.groupBy("id").agg(F.min("comp").alias("comp"))

@@ -307,3 +307,35 @@ def test_bands_miss_no_more_than_the_first_banding_and_agreement_counts_bytes(sp
     names = [[p + c for c in line_dedup.PACKED] for p in ("x_", "y_")]
     t = spark.createDataFrame(rows, "want long, " + ", ".join(f"{c} long" for c in names[0] + names[1]))
     assert t.where(line_dedup._agreement(*names) != F.col("want")).count() == 0
+
+
+def test_a_rejected_leader_does_not_hide_a_pair(spark):
+    """Two texts whose nearest by signature is the leader, which was tested and rejected, are linked nevertheless."""
+    bands, rows, seed = 4, 2, 7
+    a, b = minhash_dedup._permutations(bands * rows, seed)
+    r = random.Random(17)
+
+    def jaccard(p, q):
+        return len(np.intersect1d(p, q)) / len(np.union1d(p, q))
+
+    for _ in range(20000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts = [list(base) for _ in range(3)]
+        texts[0][r.randrange(20, 40)] = "leader"
+        texts[1][r.randrange(0, 3)] = "left"
+        texts[2][r.randrange(57, 60)] = "right"
+        texts = [" ".join(t) for t in texts]
+        sets = [minhash_dedup.shingle_set(t.encode()) for t in texts]
+        if jaccard(sets[1], sets[2]) < 0.85 or max(jaccard(sets[0], s) for s in sets[1:]) >= 0.85:
+            continue
+        low = [minhash_dedup.minima(s, a, b) for s in sets]
+        same = [[(p == q).sum() for q in low] for p in low]
+        band = [[tuple(x) for x in p.reshape(bands, rows)] for p in low]
+        shared = [k for k in range(bands) if band[1][k] == band[2][k]]
+        if shared and all(band[0][k] == band[1][k] for k in shared) and min(same[0][1], same[0][2]) > same[1][2]:
+            break
+    else:
+        raise AssertionError("no such texts")
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(t, threshold=85, bands=bands, rows=rows, seed=seed).collect()}
+    assert out == {0: 0, 1: 1, 2: 1}
