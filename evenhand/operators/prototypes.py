@@ -7,6 +7,7 @@ entropy and the mean gap between the groups' mean assignments. Each evaluation i
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,8 @@ class PrototypeRepresentation:
         low[k * dim :], high[k * dim :] = 0, 1
         theta, losses = minimise(evaluate, rng.random(k * dim + k), low, high, self.steps)
         data.unpersist()
+        if len(losses) > self.steps and (len(losses) < 2 or losses[-2] - losses[-1] >= 1e-10 * max(1, abs(losses[-2]))):
+            warnings.warn(f"the fit hasn't converged after {self.steps} steps", stacklevel=2)
         return PrototypeModel(columns, theta[: k * dim].reshape(k, dim), theta[k * dim :], losses)
 
 

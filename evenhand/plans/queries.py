@@ -431,14 +431,14 @@ def fairway_lr(spark, d):
 @query()
 def fairmask(spark, d):
     ff = _scaled(spark, d)
-    m = masking.MaskedClassifier("c_custkey", budget=3).fit(ff)
+    m = masking.MaskedClassifier("c_custkey").fit(ff)
     return m.transform(ff.df).select("c_custkey", F.col("a").alias("masked"), "prediction")
 
 
 @query()
 def lfr_fit(spark, d):
     ff = _scaled(spark, d)
-    m = prototypes.PrototypeRepresentation(k=3, steps=5).fit(ff)
+    m = prototypes.PrototypeRepresentation(k=3).fit(ff)
     return m.transform(ff.df).select("c_custkey", "x1", "x2")
 
 

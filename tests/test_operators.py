@@ -239,3 +239,9 @@ def test_disagreements(simple):
     kept = relabel.drop_disagreements(simple, (F.col("age") > 30, F.col("age") > 40))
     assert kept.where("age > 30 AND age <= 40").count() == 0 and kept.count() == 20 - 6
     assert relabel.drop_disagreements(simple).count() <= 20
+
+
+def test_a_fit_that_has_not_converged_says_so(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), i % 2, int(i % 3 > 0)) for i in range(60)], "k long, x1 double, x2 double, a int, y int")
+    with pytest.warns(UserWarning, match="converged"):
+        prototypes.PrototypeRepresentation(k=2, steps=1).fit(FairFrame(df, "a", "y", key="k"))
