@@ -5,31 +5,20 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SWEPT: set[str] = set()
-
+from evenhand.functions.ship import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_evenhand_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="evenhand-")) / "evenhand.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive.resolve()))
-    sc._evenhand_shipped = True
+#: Seconds of a job from which its shuffle files are worth a collection of the driver's garbage.
+LONG_JOB = 2.0
+_SWEPT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder of this machine is taken.
+    Only where that setting is missing and all runs in one JVM (local tests) a temporary folder of this
+    machine is taken; on a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_evenhand_root", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="evenhand-")
         spark.sparkContext.setCheckpointDir(root)
         spark.sparkContext._evenhand_root = root
@@ -74,11 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage is cut, executors may go."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path, began = scratch_path(spark, name), time.monotonic()
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evenhand_path = path
-    release(spark)
+    if time.monotonic() - began > LONG_JOB:
+        release(spark)
     return out
 
 
@@ -180,6 +173,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def free_name(*frames: DataFrame, base: str) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns``, so that other columns can't clash with an operator's own."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

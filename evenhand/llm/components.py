@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star, as DataFrame joins.
 
-A hub of any degree never meets in one task: each star takes its least neighbour by a
-pre-aggregated ``min`` and joins it back to the edges, a join whose other side has one row a
-node, so that Spark can split a hot node.
+Each star takes a node's least neighbour by a pre-aggregated ``min``, so a hub sends one row a task. The
+minima are written before they are joined back to the edges: both sides of that join then come from a
+shuffle of their own, which lets adaptive execution split a hub's edges over tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from evenhand.llm.common import drop_written, written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
     return (
         both.join(least, both.u == least.k)
         .where("v > u AND v <> m")
@@ -25,7 +25,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    least = written(edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
     star = edges.join(least, edges.u == least.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return star.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
 
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Links are undirected; loops, repeated links and links with a null end are ignored. Nodes without
     links don't appear, and an empty table gives an empty table. Each round is written to the shared
-    folder, so a lost executor costs no more than that round.
+    folder, so a lost executor costs no more than that round. Rounds grow with the logarithm of the
+    longest path; more than ``max_rounds`` raise a RuntimeError instead of returning unsettled labels.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = written(
@@ -45,7 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     if not state[0]:
         return _nodes(edges)
     for _ in range(max_rounds):
-        new = written(_small_star(_large_star(edges)), "edges")
+        large = written(_large_star(edges), "large")
+        new = written(_small_star(large), "edges")
+        drop_written(large)
         now = _state(new)
         drop_written(edges)
         edges = new
