@@ -7,12 +7,20 @@ shingles, or the line itself if it is shorter.
 All lines are signed in one way, by minima over all their shingles, so banding sees the similarity that is
 tested, and no pair is outside it: two lines that share a shingle can meet in each band, whatever their
 lengths, words and blanks. BANDS bands of ROWS minima give candidates: at similarity s a pair is missed with
-(1 - s**ROWS)**BANDS, 8e-4 at 0.8 and 7e-5 at 0.85. Each bucket links its members to its least line;
-the pairs are confirmed by exact Jaccard similarity on all shingles. In buckets of more than two lines
-that still hold several components, lines of different components are compared by size and signature
-inside the join, and only pairs that may reach the threshold come out. Of these each line's nearest is
-confirmed first; the pairs that are then still of different components are all confirmed. Components come from
-alternating large-star and small-star; of each the first line (least id, then line number) stays.
+(1 - s**ROWS)**BANDS, 8e-4 at 0.8 and 7e-5 at 0.85.
+
+1. Each bucket links its members to its least line, after a look at signatures, by exact Jaccard similarity.
+2. In buckets of more than two lines that still hold several components, a semi-join keeps the lines that
+   have a partner of another component which may reach the threshold: a row a line, however many partners.
+3. These few lines get FINE_BANDS bands of FINE_ROWS further minima. Each fine bucket links its members to
+   one of them, drawn by hash, so that what is similar nearly always falls into one component.
+4. Lines of buckets of step 1 that are still in different components are compared inside the join, by size,
+   by all minima and by their sets as 32-bit hashes, which never count too few in common. Only links come
+   out, and they are confirmed on the lines.
+
+A bucket is cut into blocks of BLOCK lines for steps 2 and 4, so no task holds a bucket. Components come
+from alternating large-star and small-star; of each the first line (least id, null last, then line
+number) stays.
 """
 
 from __future__ import annotations
@@ -22,21 +30,37 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import drop_written, table, written
+from evenhand.llm.common import drop_written, free_name, table, written
 from evenhand.llm.components import components
 
 SHINGLE, ROWS, BANDS = 8, 3, 10
+FINE_ROWS, FINE_BANDS = 5, 16
 LOW = (1 << 31) - 1
-#: Shingles cut from one substring of a line.
-CHUNK = 64
-#: Minima are compared by their low bytes, eight to a long; bytes that differ by chance agree once in 256.
-PACKED = [f"s{i}" for i in range(-(-ROWS * BANDS // 8))]
+#: Shingles cut from one stretch of a line; stretches are cut from longer ones, as a substring walks from the beginning.
+CHUNK, BIG_CHUNK = 4096, 1 << 20
+#: Lines of a bucket that meet in one task.
+BLOCK = 1024
 #: Ids that may be broadcast to pick the lines to compare.
 FEW_IDS = 500_000
+COARSE, FINE = ROWS * BANDS, FINE_ROWS * FINE_BANDS
+
+
+#: Minima are compared by their low seven bits, LANES of eight bits to a long, so that sums over lanes can't
+#: overflow; minima that differ agree by chance once in 128.
+LANES = 7
+
+
+def _packed(prefix: str, count: int) -> list[str]:
+    """Names of the columns of a signature of ``count`` minima."""
+    return [f"{prefix}{i}" for i in range(-(-count // LANES))]
+
+
+PACKED, FINE_PACKED = _packed("s", COARSE), _packed("t", FINE)
 
 
 def _all_shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    # a match takes one whole character, so none begins inside a surrogate pair
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
 
 def shingles(line: Column) -> Column:
@@ -44,64 +68,68 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_all_shingles(line))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """(lid, keys, PACKED) of each line: the keys of its bands and the low bytes of its minima, over all its shingles."""
-    # cut into chunks first: a substring of a long line walks the line from its beginning
-    chunks = lines.select("lid", F.explode(F.expr(f"transform(sequence(1, greatest(length(line) - {SHINGLE - 1}, 1), {CHUNK}), i -> substr(line, i, {CHUNK + SHINGLE - 1}))")).alias("c"))
-    starts = chunks.select("lid", "c", F.explode(F.expr(f"sequence(1, greatest(length(c) - {SHINGLE - 1}, 1))")).alias("i"))
-    hashed = starts.select("lid", F.xxhash64(F.substr("c", "i", F.lit(SHINGLE))).bitwiseAND(F.lit(LOW)).alias("x"))
-    aggs = []
-    for i in range(ROWS * BANDS):
+def _cut(of: str, size: int) -> str:
+    """SQL of an array of stretches of ``of`` that hold all its shingles, ``size`` of them each."""
+    return f"transform(sequence(1, greatest(length({of}) - {SHINGLE - 1}, 1), {size}), i -> substr({of}, i, {size + SHINGLE - 1}))"
+
+
+def _signed(lines: DataFrame, rows: int, bands: int, names: list[str], first: int = 0) -> DataFrame:
+    """(lid, keys, names) of each line: the keys of its bands and its minima in lanes, over all its shingles."""
+    whole = lines.select("lid", F.explode(F.expr(f"CASE WHEN length(line) <= {BIG_CHUNK} THEN array(line) ELSE {_cut('line', BIG_CHUNK)} END")).alias("c"))
+    chunks = whole.select("lid", F.explode(F.expr(f"CASE WHEN length(c) <= {CHUNK} THEN array(c) ELSE {_cut('c', CHUNK)} END")).alias("c"))
+    hashed = chunks.select("lid", F.explode(shingles(F.col("c"))).alias("s")).select("lid", F.xxhash64("s").bitwiseAND(F.lit(LOW)).alias("x"))
+    count, aggs = rows * bands, []
+    for i in range(first, first + count):
         # an odd factor permutes the numbers below 2**31; the product stays below 2**62
         a, b = (0x5851F42D * (2 * i + 3) | 1) & LOW, (0x14057B7E * (i + 7)) & LOW
-        aggs.append(F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(LOW)).cast("int")).alias(f"m{i}"))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+        aggs.append(F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(LOW)).cast("int")).alias(f"m{i - first}"))
+    keys = F.array(*[F.xxhash64(F.lit(first + b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     packed = []
-    for j, name in enumerate(PACKED):
+    for j, name in enumerate(names):
         word = F.lit(0).cast("long")
-        for k in range(min(8, ROWS * BANDS - 8 * j)):
-            word = word.bitwiseOR(F.shiftleft(F.col(f"m{8 * j + k}").bitwiseAND(F.lit(255)).cast("long"), 8 * k))
+        for k in range(min(LANES, count - LANES * j)):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{LANES * j + k}").bitwiseAND(F.lit(127)).cast("long"), 8 * k))
         packed.append(word.alias(name))
     return hashed.groupBy("lid").agg(*aggs).select("lid", keys.alias("keys"), *packed)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` (a written table of one or two longs a row), to be broadcast up to FEW_IDS rows; beyond, joins shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose lid is in ``ids`` (wanted), which is broadcast up to FEW_IDS rows of 8 bytes; beyond, the rows are shuffled."""
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col("lid") == F.col("wanted"), "left_semi")
+    """``rows`` whose lid is in ``ids`` (wanted)."""
+    return rows.join(_few(ids), F.col("lid") == F.col("wanted"), "left_semi")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted")
 
 
-def _agreement(x: list[str], y: list[str]) -> Column:
-    """How many minima of two signatures agree; bits and sums only, so that it is compiled into the join."""
+def _agreement(x: list[str], y: list[str], count: int = COARSE) -> Column:
+    """How many of ``count`` minima of two signatures agree; bits and sums only."""
     differ = F.lit(0)
     for p, q in zip(x, y, strict=True):
-        z = F.col(p).bitwiseXOR(F.col(q))
-        for shift in (4, 2, 1):  # the lowest bit of each byte becomes the OR of its bits
-            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(ROWS * BANDS) - differ
+        # a lane that isn't zero carries into its highest bit; short, as the JVM doesn't compile long methods
+        lanes = F.col(p).bitwiseXOR(F.col(q)) + F.lit(0x7F7F7F7F7F7F7F)
+        differ = differ + F.bit_count(lanes.bitwiseAND(F.lit(0x80808080808080)))
+    return F.lit(count) - differ
 
 
-def _least_agreement(threshold: int) -> int:
+def _least_agreement(threshold: int, count: int = COARSE) -> int:
     """Four deviations below what is expected at the threshold."""
-    t, n = threshold / 100, ROWS * BANDS
-    return math.floor(n * t - 4 * math.sqrt(n * t * (1 - t)))
-
-
-def _named(signed: DataFrame, lid: str, prefix: str) -> DataFrame:
-    return signed.select(F.col("lid").alias(lid), *[F.col(c).alias(prefix + c) for c in PACKED])
+    t = threshold / 100
+    return math.floor(count * t - 4 * math.sqrt(count * t * (1 - t)))
 
 
-def _similar(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+def _similar(pairs: DataFrame, signed: DataFrame, names: list[str], count: int, threshold: int) -> DataFrame:
     """(a, b) of pairs (a, b) whose signatures agree."""
     sigs = _picked(signed, _ends(pairs))
-    both = pairs.join(_named(sigs, "a", "x_"), "a").join(_named(sigs, "b", "y_"), "b")
-    x, y = ([p + c for c in PACKED] for p in ("x_", "y_"))
-    return both.where(_agreement(x, y) >= _least_agreement(threshold)).select("a", "b").distinct()
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(sigs.select(F.col("lid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
+    return both.where(_agreement([f"a_{c}" for c in names], [f"b_{c}" for c in names], count) >= _least_agreement(threshold, count)).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
@@ -115,76 +143,116 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return sets.where(near).select("a", "b")
 
 
-def _rest(members: DataFrame, signed: DataFrame, lines: DataFrame, found: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, same): pairs of different components that share a bucket, may reach the threshold and aren't ``tested``.
-
-    They are compared inside the join: at a similarity of t the smaller set has at least t of the larger
-    one's members, and the signatures agree.
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, lid, comp, n_key) of members of buckets that hold several components."""
+    placed = members.join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_key")).where("lo < hi").select("key", "n_key")
+    return placed.join(mixed, "key")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Two sides of a join of the rows of a bucket with each other, by blocks; the columns of the second end with _2."""
+    k = F.ceil(F.col("n_key") / BLOCK).cast("int")
+    one = rows.withColumn("block", F.explode(F.sequence(F.lit(0), k - 1)))
+    two = rows.withColumn("block", F.pmod(F.xxhash64("lid"), k).cast("int"))
+    two = two.select(*[F.col(c).alias(c + "_2") for c in two.columns])
+    return one, two, (F.col("key") == F.col("key_2")) & (F.col("block") == F.col("block_2")) & (F.col("comp") != F.col("comp_2"))
+
+
+def _partnered(rest: DataFrame, names: list[str], count: int, threshold: int, sized: bool = False) -> DataFrame:
+    """(wanted): the lines of ``rest`` that have a partner of another component which may reach the threshold."""
+    one, two, meet = _sides(rest)
+    if sized:
+        meet = meet & _sizes_fit(threshold)
+    near = _agreement(names, [c + "_2" for c in names], count) >= _least_agreement(threshold, count)
+    return written(one.join(two, meet & near, "left_semi").select(F.col("lid").alias("wanted")).distinct(), "partnered")
+
+
+def _sizes_fit(threshold: int) -> Column:
+    """At a similarity of t the smaller set has at least t of the larger one's members."""
+    return F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * threshold
+
+
+def _fine_pairs(cand: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): each member of a fine bucket with one drawn by hash, where their components differ."""
+    spread = cand.select("lid", F.explode("keys").alias("key")).withColumn("h", F.xxhash64("key", "lid"))
+    first = spread.groupBy("key").agg(F.min("h").alias("lead"), F.count("*").alias("cnt")).where("cnt > 1").select("key", "lead")
+    placed = written(spread.join(first, "key").join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", (F.col("h") == F.col("lead")).alias("leads"), F.coalesce("component", "lid").alias("comp")), "fine")
+    leads = placed.where("leads").select("key", F.col("lid").alias("other"), F.col("comp").alias("other_comp"))
+    return placed.where("NOT leads").join(leads, "key").where("comp <> other_comp").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct()
+
+
+def _last_links(members: DataFrame, found: DataFrame, sigs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links between lines of one bucket and of different components; sigs has all minima and n of the lines that count."""
+    names, count = PACKED + FINE_PACKED, COARSE + FINE
+    rest = written(_unsettled(members, found).join(sigs.select("lid", "n", *names), "lid"), "rest")
+    near = _partnered(rest, names, count, threshold, sized=True)
+    hashes = _picked(lines, near).select(F.col("lid").alias("own"), F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("set"))
+    # a bucket's size is that of the lines that are left, or more
+    one, two, meet = _sides(_picked(rest, near).join(hashes, F.col("lid") == F.col("own")).drop("own"))
+    agreement = _agreement(names, [c + "_2" for c in names], count) >= _least_agreement(threshold, count)
+    # different shingles may share a hash, so that at most the lost members of the smaller loss are missing in common
+    common = F.size(F.array_intersect("set", "set_2")) + F.least(F.col("n") - F.size("set"), F.col("n_2") - F.size("set_2"))
+    similar = common * (100 + threshold) >= (F.col("n") + F.col("n_2")) * threshold
+    both = one.join(two, meet & (F.col("lid") < F.col("lid_2")) & _sizes_fit(threshold) & agreement & similar)
+    pairs = written(both.select(F.col("lid").alias("a"), F.col("lid_2").alias("b")).distinct(), "pairs")
+    drop_written(rest)
+    return _confirmed(pairs, lines, threshold)
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, no, pos, line) of each line that isn't blank.
+
+    pos orders lines by id (null last), by 28 bits of a hash of the text, which tell rows of one id apart,
+    and by number in the text; it is a decimal below 2**124, so no id overflows.
     """
-    placed = members.where("cnt > 2").join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = written(placed.join(mixed, "key"), "rest")
-    ids = written(rest.select(F.col("lid").alias("wanted")).distinct(), "wanted")
-    sizes = _picked(lines, ids).select("lid", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
-    sigs = written(_picked(signed, ids).select("lid", *PACKED).join(sizes, "lid"), "sigs")
-    one = rest.join(sigs, "lid").select("key", "lid", "comp", "n", *PACKED)
-    two = one.select(*[F.col(c).alias(c + "_2") for c in one.columns])
-    agreement = _agreement(PACKED, [c + "_2" for c in PACKED])
-    sizes_fit = F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * threshold
-    both = one.join(two, (F.col("key") == F.col("key_2")) & (F.col("comp") < F.col("comp_2")) & sizes_fit & (agreement >= _least_agreement(threshold)))
-    pairs = both.select(F.least("lid", "lid_2").alias("a"), F.greatest("lid", "lid_2").alias("b"), agreement.alias("same")).distinct()
-    more = written(pairs.join(tested, ["a", "b"], "left_anti"), "more")
-    drop_written(rest, sigs)
-    return more
-
-
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, same) that agree best for one of their lines: at most one a line."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "same")
-    best = ends.groupBy("node").agg(F.max(F.struct("same", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose lines are of different components."""
-    x, y = (found.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in ("a", "b"))
-    both = pairs.join(x, "a", "left").join(y, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    text, low = F.col(f"`{text_col}`").cast("string"), 1 << 28
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(low - 1)).alias("th"), text.alias("text"))
+    each = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "th", "no", F.trim("raw").alias("line")).where("line <> ''")
+    place = F.coalesce(F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    pos = ((place * F.lit(low).cast("decimal(10,0)")).cast("decimal(30,0)") + F.col("th")).cast("decimal(30,0)")
+    pos = ((pos * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("no")).cast("decimal(38,0)")
+    return each.withColumn("pos", pos)
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, lines): (pos, h1, h2) of each line, and (h1, h2, keep) of each distinct line that has another.
+    """(occurrences, lines): (id, th, no, pos, h1, h2) of each line, and (h1, h2, keep) of each distinct line that has another.
 
-    pos orders lines by id and number in the text, as a decimal; keep is the pos of the line that stays.
-    Lines that occur once and are like no other are left out of the second.
+    keep is the pos of the line that stays. Lines that occur once and are like no other are left out of
+    the second.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("decimal(20,0)"), F.lit(-1)).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    each = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select((F.col("id") * 4294967296 + F.col("no")).cast("decimal(38,0)").alias("pos"), F.trim("raw").alias("line")).where("line <> ''")
+    each = _occurrences(docs, id_col, text_col)
     h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2")
-    occurrences = each.select("pos", h1, h2)
+    occurrences = each.select("id", "th", "no", "pos", h1, h2)
     # ids are fixed when the table is written
     distinct = each.groupBy("line").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))
     lines = written(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
-    signed = written(_signed(lines), "signed")
+    signed = written(_signed(lines, ROWS, BANDS, PACKED), "signed")
 
     spread = signed.select("lid", F.explode("keys").alias("key"))
-    buckets = spread.groupBy("key").agg(F.min("lid").alias("lead"), F.count("*").alias("cnt")).where("cnt > 1")
-    members = written(spread.join(written(buckets, "buckets"), "key"), "members")
-    stars = written(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b")).distinct(), "stars")
-    pairs = written(_similar(stars, signed, threshold), "pairs")
+    buckets = written(spread.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"), F.count("*").alias("cnt")).where("cnt > 1"), "buckets")
+    large = written(buckets.where("cnt > 2").select(F.col("key").alias("large"), "lead"), "large")
+    members = written(spread.join(_few(large), F.col("key") == F.col("large")).select("key", "lid", "lead"), "members")
+    twos = buckets.where("cnt = 2").select(F.col("lead").alias("a"), F.col("last").alias("b"))
+    stars = written(twos.union(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"))).distinct(), "stars")
+    pairs = written(_similar(stars, signed, PACKED, COARSE, threshold), "pairs")
     links = written(_confirmed(pairs, lines, threshold), "links")
     found = components(links)
-    more = _rest(members, signed, lines, found, pairs, threshold)
-    drop_written(signed, members)
-    if not more.isEmpty():
-        near = written(_nearest(more), "near")
-        links = links.union(written(_confirmed(near, lines, threshold), "links"))
+
+    rest = _unsettled(members, found)
+    rest = written(rest.join(_picked(signed.select("lid", *PACKED), written(rest.select(F.col("lid").alias("wanted")).distinct(), "wanted")), "lid"), "rest")
+    near = _partnered(rest, PACKED, COARSE, threshold)
+    if not near.isEmpty():
+        some = written(_picked(lines.select("lid", "line"), near), "some")
+        n = some.select("lid", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
+        fine = written(_signed(some, FINE_ROWS, FINE_BANDS, FINE_PACKED, COARSE).join(n, "lid").join(_picked(signed.select("lid", *PACKED), near), "lid"), "fine")
+        drop_written(signed, rest)
+        tried = written(_similar(written(_fine_pairs(fine, found), "tried"), fine, FINE_PACKED, FINE, threshold), "pairs")
+        links = links.union(written(_confirmed(tried, lines, threshold), "links"))
         found = components(links)
-        last = written(_apart(more.join(near, ["a", "b"], "left_anti"), found), "apart")
+        last = written(_last_links(_picked(members.select("key", "lid"), near), found, fine, lines, threshold), "links")
         if not last.isEmpty():
-            again = written(_confirmed(last, lines, threshold), "links")
-            if not again.isEmpty():
-                found = components(links.union(again))
+            found = components(links.union(last))
     firsts = lines.select("lid", "pos").join(found, F.col("lid") == F.col("node")).groupBy("component").agg(F.min("pos").alias("keep"))
     in_comp = found.join(firsts, "component").select("node", "keep")
     kept = lines.select(h1, h2, "pos", "times", "lid").join(in_comp, F.col("lid") == F.col("node"), "left")
@@ -192,42 +260,49 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
-    """(id, removed): for each id with lines to remove, their sorted numbers from 0."""
+    """(id, th, removed): for each row with lines to remove, their sorted numbers from 0; th tells texts of one id apart."""
     occurrences, kept = line_components(docs, id_col, text_col, threshold)
-    gone = occurrences.join(kept, ["h1", "h2"]).where("pos <> keep").select("pos")
-    parts = gone.select(F.expr("CAST(CAST(pos AS DECIMAL(38,0)) div 4294967296 AS BIGINT)").alias("id"), F.expr("CAST(pos % 4294967296 AS INT)").alias("no"))
-    return parts.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    kept = kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep")
+    gone = occurrences.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("pos <> keep")
+    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+
+
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, str]:
+    """``docs`` with the numbers of the lines to remove (null: none) in a column of a free name, and that name."""
+    name = free_name(docs, base="removed")
+    gid, gth = free_name(docs, base="removed_id"), free_name(docs, base="removed_th")
+    gone = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias(gid), F.col("th").alias(gth), F.col("removed").alias(name))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gid)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")).bitwiseAND(F.lit((1 << 28) - 1)) == F.col(gth))
+    return docs.join(gone, same, "left").drop(gid, gth), name
 
 
 def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """``docs`` whose texts keep one line of each component; rows stay, though a text may become empty.
 
-    Blank lines stay. Null texts stay null. Rows that share an id must share their texts for a defined
-    result: a line number removed from one is removed from all. A null id counts as -1. Other columns
-    pass through.
+    Blank lines stay. Null texts stay null, null ids are ids that come last, and ids may be any longs. Rows
+    that repeat id and text are one: each copy keeps the same lines. Rows that share an id only are told
+    apart by their texts. Other columns pass through, whatever their names; an empty table gives none.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1))
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    clean = F.when(F.col("_removed").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"))
-    return docs.join(gone, key == F.col("_id"), "left").withColumn(text_col, clean).select(*docs.columns)
+    joined, name = _with_removed(docs, id_col, text_col, threshold)
+    text = F.col(f"`{text_col}`")
+    clean = F.when(F.col(name).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(name), i)), "\n"))
+    return joined.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines (not blank), n_removed, removed (line numbers from 0).
 
-    A null text has no lines. An empty table gives none. Ids that repeat: see deduplicated_lines.
+    A null text has no lines. An empty table gives none. Null and repeated ids: see deduplicated_lines.
     """
-    gone = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias("gid"), "removed")
-    n = F.size(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: F.trim(x) != ""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    out = rows.join(gone, F.coalesce("doc_id", F.lit(-1).cast("long")) == F.col("gid"), "left")
-    empty = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.size(F.coalesce("removed", empty)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    joined, name = _with_removed(slim, "doc_id", "text", threshold)
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    removed = F.coalesce(F.col(name), F.array().cast("array<int>"))
+    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """``removed`` goes out as text: line numbers joined by commas."""
+    """Line report of all documents; ``removed`` goes out as text: line numbers joined by commas."""
     out = line_report(table(spark, sf_dir, "documents"))
     return out.withColumn("removed", F.array_join("removed", ","))
 

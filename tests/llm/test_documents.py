@@ -296,19 +296,77 @@ def test_lines_whose_blanks_differ_are_found(spark):
 def test_bands_miss_no_more_than_the_first_banding_and_agreement_counts_bytes(spark):
     for s in (0.8, 0.85, 0.9):
         assert (1 - s**line_dedup.ROWS) ** line_dedup.BANDS <= (1 - s**4) ** 12
-    n = line_dedup.ROWS * line_dedup.BANDS
+    n, lanes = line_dedup.ROWS * line_dedup.BANDS, line_dedup.LANES
     r = random.Random(13)
     rows = []
     for k in range(n + 1):
-        x = [r.randrange(256) for _ in range(n)]
-        y = [v if i >= k else v ^ r.choice([1, 2, 16, 128, 255]) for i, v in enumerate(x)]
-        words = [[int.from_bytes(bytes(z[i : i + 8]), "little", signed=len(z[i : i + 8]) == 8) for i in range(0, n, 8)] for z in (x, y)]
+        x = [r.randrange(128) for _ in range(n)]
+        y = [v if i >= k else v ^ r.choice([1, 2, 16, 64, 127]) for i, v in enumerate(x)]
+        words = [[int.from_bytes(bytes(z[i : i + lanes]), "little") for i in range(0, n, lanes)] for z in (x, y)]
         rows.append((n - k, *words[0], *words[1]))
     names = [[p + c for c in line_dedup.PACKED] for p in ("x_", "y_")]
     t = spark.createDataFrame(rows, "want long, " + ", ".join(f"{c} long" for c in names[0] + names[1]))
     assert t.where(line_dedup._agreement(*names) != F.col("want")).count() == 0
 
 
+def test_lines_of_null_negative_and_repeated_ids(spark):
+    a, b, c = "the first line of them all", "quite another line is here", "and a third one to keep too"
+    rows = [(None, a + "\n" + b), (None, c), (-1, b), (-1, a), (-7, c + "\n" + a), (5, "x\n" + a), (5, "x\n" + a), (-(2**63), "x"), (2**63 - 1, "x\n\ny")]
+    t = spark.createDataFrame([(i, x, 1, "r") for i, x in rows], "doc_id long, text string, removed int, removed_id string")
+    out = line_dedup.deduplicated_lines(t)
+    assert out.columns == t.columns
+    # -2**63 keeps "x"; -7 keeps c and a; -1 keeps b; of the others only "y" is left
+    want = Counter([(None, ""), (None, ""), (-1, b), (-1, ""), (-7, c + "\n" + a), (5, ""), (5, ""), (-(2**63), "x"), (2**63 - 1, "\ny")])
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in line_dedup.line_report(t).collect())
+    assert got == Counter([(None, 2, (0, 1)), (None, 1, (0,)), (-1, 1, ()), (-1, 1, (0,)), (-7, 2, ()), (5, 2, (0, 1)), (5, 2, (0, 1)), (-(2**63), 1, ()), (2**63 - 1, 2, (0,))])
+
+
+def test_shingles_are_whole_characters(spark):
+    text = "ab🙂cd漢🙂🙂efgh"
+    got = spark.createDataFrame([(text,)], "t string").select(line_dedup.shingles(F.col("t"))).first()[0]
+    assert got == [text[i : i + 8] for i in range(len(text) - 7)]
+
+
+def test_long_lines_are_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    monkeypatch.setattr(line_dedup, "BIG_CHUNK", 50)
+    r = random.Random(14)
+    lines = ["".join(r.choices("abcdefghij ", k=n)) for n in (7, 8, 23, 24, 49, 50, 57, 58, 500)]
+    whole = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    short = line_dedup._signed(whole, 3, 10, line_dedup.PACKED).collect()
+    monkeypatch.undo()
+    assert sorted(short) == sorted(line_dedup._signed(whole, 3, 10, line_dedup.PACKED).collect())
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_line_pairs_are_recalled_and_groups_meet_brute_force(spark, monkeypatch, block):
+    """Random edits around 0.8: the components are those of all links, in groups that no line is central in."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    r = random.Random(15)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    lines = []
+    for size in [12, 25, 40] * (12 if block == 1024 else 3):
+        base = [word() for _ in range(size)]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(r.randint(0, max(2, size // 9))):
+                t[r.randrange(size)] = word()
+            lines.append(" ".join(t))
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
+    parent, links = {i: i for i in range(len(lines))}, 0
+    for i in range(len(lines)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links += 1
+                p, q = find(parent, i), find(parent, j)
+                parent[max(p, q)] = min(p, q)
+    t = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in line_dedup.line_report(t).collect() if not x["removed"]}
+    assert links > 20
+    assert kept == {i for i in parent if find(parent, i) == i}
+
+
 def test_a_rejected_leader_does_not_hide_a_pair(spark):
     """Two texts whose nearest by signature is the leader, which was tested and rejected, are linked nevertheless."""
     bands, rows, seed = 4, 2, 7
