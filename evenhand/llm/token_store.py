@@ -1,8 +1,9 @@
 """Token ids in Re-Pair compressed shards.
 
 Texts are encoded with the ``tokenizers`` library; an end id closes each document. The rows go in
-ascending id order, and each shard of about ``shard_ids`` ids is a grammar of its own: pairs of ids that
-occur often become nonterminals, over and over, taking the most frequent pairs of a round together.
+ascending id order, and each shard of about ``shard_ids`` ids is a grammar of its own: as long as a pair
+of ids occurs ``least`` times, pairs become nonterminals, the most frequent first (those within a
+quarter of the highest count go together, and where two overlap the more frequent one is replaced).
 No nonterminal holds an end id, so each document is a run of symbols. A shard keeps its rules, the
 expansion length of each rule and where each document's symbols begin: any document, or any range of
 ids, is decoded without the rest.
@@ -13,140 +14,165 @@ output whole when executors go.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import bin_texts, release, scratch_path, ship, table
+from evenhand.llm.common import release, scratch_path, ship, table
 
-_GENERAL = re.compile(r"(?<!\s)(?= )")
-_END = "\x01 "
+#: Bytes of text whose distinct pieces are encoded together.
+SLICE = 4 << 20
+#: Pieces that the tokenizer gets in one string.
+JOINED = 30
+_WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
+#: White space beside a space, or at the end: such texts go to the tokenizer as they are.
+_IRREGULAR = rf"{_WHITE} | {_WHITE}|^ |{_WHITE}$|<\|"
+SLOTS = 18
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts through the ids of their space-led pieces, which the tokenizer encodes once each.
+    """Encodes texts by their space-led pieces, of which each slice of texts encodes each distinct one once.
 
-    A space after a character that isn't white space always begins a new piece of the byte-level
-    pattern, so such pieces can be encoded by themselves. Texts with other white space before a space
-    are cut at those places only.
+    In the byte-level pattern a space after a character that isn't white space always begins a new piece,
+    whatever went before. The pieces of all texts of a slice are therefore cut at spaces and encoded
+    together; the first token of a piece, and no other, begins with the space, which tells the pieces
+    apart. Texts where this doesn't hold (see _IRREGULAR) are encoded whole. Nothing is kept between slices.
     """
 
-    def __init__(self, path: str, end: int, limit: int = 500_000):
+    def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), end, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {_END: 0}
-        self.flat = np.full(1 << 16, self.end, np.uint32)
-        self.start, self.size, self.open = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, bool))
-        self.size[0], self.used = 1, 1
-
-    def _learn(self, units: list[str]) -> None:
-        new = [u for u in set(units) if u not in self.index]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            texts = [u[2:] if u[:2] == "\x00 " else u[1:] if u[:1] == " " else " " + u for u in part]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self.index), int(size.sum())
-            self.flat = _room(self.flat, self.used + total)
-            self.start, self.size, self.open = (_room(x, first + len(part)) for x in (self.start, self.size, self.open))
-            self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
-            span = slice(first, first + len(part))
-            self.start[span] = self.used + np.cumsum(size) - size
-            self.size[span] = size
-            # a piece that ends with white space doesn't end where the tokenizer's piece ends
-            self.open[span] = [u[:2] != "\x00 " and (t == " " or t[-1:].isspace()) for u, t in zip(part, texts, strict=True)]
-            self.used += total
-            self.index.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts with an end id after each, number of ids of each)."""
-        if len(self.index) > self.limit:
-            self.clear()
-        units: list[str] = []
-        counts = []
-        for text in texts:
-            parts = text.split(" ")
-            parts[0] = " " + parts[0]
-            parts.append(_END)
-            counts.append(len(parts))
-            units += parts
-        self._learn(units)
-        which = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        first = np.cumsum(counts) - counts
-        loose = self.open[which]
-        loose[first + np.array(counts, np.int64) - 2] = False  # the last piece may end with white space
-        if loose.any():
-            odd = np.logical_or.reduceat(loose, first)
-            cut = [["\x00 " + u for u in _GENERAL.split(t)] + [_END] if o else None for t, o in zip(texts, odd.tolist(), strict=True)]
-            self._learn([u for c in cut if c for u in c])
-            pieces = [np.fromiter(map(self.index.__getitem__, c), np.int64, len(c)) if c else which[f : f + n] for c, f, n in zip(cut, first.tolist(), counts, strict=True)]
-            which, first = np.concatenate(pieces), np.cumsum([0, *map(len, pieces[:-1])])
-        size = self.size[which]
-        at = np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return self.flat[at], np.add.reduceat(size, first)
-
-
-def _room(x: np.ndarray, need: int) -> np.ndarray:
-    if need <= len(x):
-        return x
-    out = np.zeros(max(need, 2 * len(x)), x.dtype)
-    out[: len(x)] = x
-    return out
-
-
-def compress(ids: np.ndarray, end: int, first_symbol: int, most: int, rounds: int = 10, least: int = 12, share: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): Re-Pair of ids; rule i is the pair that symbol first_symbol + i stands for."""
-    s, rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)]
-    made = 0
-    for _ in range(rounds):
-        if len(s) < 2 or made >= most:
-            break
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.base = self.tokenizer.get_vocab_size()
+        self.leads = np.zeros(self.base, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.leads[i] = token.startswith("\u0120")  # how the vocabulary writes a space
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of " " + word for all words, number of ids of each)."""
+        joined = self._ids([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        flat = _flat(joined)
+        starts = np.flatnonzero(self.leads[flat])
+        if len(starts) != len(words):
+            raise ValueError("the tokenizer doesn't begin a piece at each space")
+        return flat, np.diff(np.append(starts, len(flat)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with an end id after each, number of ids of each); texts: strings without nulls."""
+        whole = pc.match_substring_regex(texts, _IRREGULAR)
+        odd = whole.to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        names = coded.dictionary.to_pylist()
+        # a text's first word has no space before it
+        led = np.ones(len(which), bool)
+        led[first] = False
+        used = np.unique(which[led])
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(used))
+        flat, sizes = self._pieces([names[i] for i in used.tolist()])
+        alone = self._ids([names[i] for i in which[first].tolist()] + texts.filter(whole).to_pylist())
+        flat = np.concatenate([flat, _flat(alone), np.array([self.end], np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone)), [1]])
+        start = np.cumsum(sizes) - sizes
+        which = place[which]
+        which[first] = len(used) + np.arange(len(first))
+        # items of each text in order, and an end
+        count = np.full(len(texts), 2, np.int64)
+        count[~odd] = lengths + 1
+        last = np.cumsum(count) - 1
+        items = np.full(int(count.sum()), -1, np.int64)
+        items[last] = len(sizes) - 1
+        items[last[odd] - 1] = len(used) + len(first) + np.arange(int(odd.sum()))
+        items[items < 0] = which
+        size = sizes[items]
+        at = np.repeat(start[items] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return flat[at], np.add.reduceat(size, last + 1 - count) if len(count) else count
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter((x for e in ids for x in e), np.uint32, sum(map(len, ids)))
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, stop) of stretches of about SLICE bytes, of one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
+        yield i, j
+        i = j
+
+
+def _slot(code: np.ndarray) -> np.ndarray:
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): Re-Pair of ids until no pair occurs ``least`` times; rule i is what first_symbol + i stands for."""
+    s, rules = ids.astype(np.uint32), np.empty(0, np.uint64)
+    while len(s) > 1:
         code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        rough = np.bincount(slot, minlength=1 << 18)
-        busy = rough[slot] >= least
-        busy &= (s[:-1] != end) & (s[1:] != end)
-        pairs, count = np.unique(code[busy], return_counts=True)
-        often = np.flatnonzero(count >= least)
-        best = often[np.argsort(-count[often], kind="stable")][: min(share, most - made)]
-        if not len(best):
+        slot = _slot(code)
+        # slots count no pair too low, so only pairs that may be frequent are sorted
+        busy = np.bincount(slot, minlength=1 << SLOTS)[slot] >= least
+        at = np.flatnonzero(busy & (s[:-1] != end) & (s[1:] != end))
+        pairs, count = np.unique(code[at], return_counts=True)
+        top = int(count.max()) if len(count) else 0
+        if top < least:
             break
-        pairs = pairs[best]
-        where = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        _, keep = np.unique(where, return_index=True)  # one pair a slot, the most frequent
+        often = np.flatnonzero(count >= max(least, top / 4))
+        pairs = pairs[often[np.argsort(-count[often], kind="stable")]]
+        where = _slot(pairs)
+        _, keep = np.unique(where, return_index=True)  # a pair whose slot is taken waits for the next turn
         keep.sort()
         pairs, where = pairs[keep], where[keep]
-        rule_of = np.full(1 << 18, -1, np.int64)
-        rule_of[where] = np.arange(len(pairs))
-        at = np.flatnonzero(busy)
-        r = rule_of[slot[at]]
-        at, r = at[r >= 0], r[r >= 0]
-        ok = pairs[r] == code[at]
-        at, r = at[ok], r[ok]
-        # of overlapping pairs in a row take the first, third, ...
+        rank_of = np.full(1 << SLOTS, -1, np.int64)
+        rank_of[where] = np.arange(len(pairs))
+        rank = rank_of[slot[at]]
+        ok = (rank >= 0) & (pairs[rank] == code[at])
+        at, rank = at[ok], rank[ok]
+        # of overlapping pairs the more frequent is replaced; of a row of one pair the first, third, ...
+        beside = np.zeros(len(at) + 1, bool)
+        beside[1:-1] = at[1:] == at[:-1] + 1
         new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1] + 1
+        new[1:] = ~beside[1:-1] | (rank[1:] != rank[:-1])
         run = np.flatnonzero(new)
-        nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, r = at[nth % 2 == 0], r[nth % 2 == 0]
-        s[at] = first_symbol + made + r
+        key = 2 * rank + ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1)
+        best = np.ones(len(at), bool)
+        best[1:] &= ~beside[1:-1] | (key[1:] < key[:-1])
+        best[:-1] &= ~beside[1:-1] | (key[:-1] < key[1:])
+        at, rank = at[best], rank[best]
+        # a pair that was left over in an earlier turn keeps its symbol
+        order = np.argsort(rules, kind="stable")
+        found = order[np.minimum(np.searchsorted(rules[order], pairs), len(rules) - 1)] if len(rules) else np.zeros(len(pairs), np.int64)
+        known = rules[found] == pairs if len(rules) else np.zeros(len(pairs), bool)
+        fresh = np.zeros(len(pairs), bool)
+        fresh[rank] = True
+        fresh &= ~known
+        symbol = np.where(known, found, 0)
+        symbol[fresh] = len(rules) + np.arange(int(fresh.sum()))
+        rules = np.concatenate([rules, pairs[fresh]])
+        s[at] = (first_symbol + symbol[rank]).astype(np.uint32)
         left = np.ones(len(s), bool)
         left[at + 1] = False
         s = s[left]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        made += len(pairs)
-    return s, np.concatenate(rules)
+    return s, np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 class Grammar:
@@ -213,32 +239,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(tokenizer, end)
         encoder, part, seq = _ENCODERS[key], TaskContext.get().partitionId(), 0
-        base = encoder.tokenizer.get_vocab_size()
-        held: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        names: list[int | None] = []
-        total = 0
+        ids, sizes, names = np.empty(0, np.uint32), np.empty(0, np.int64), []
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                ids, count = encoder.encode(some.column(1).to_pylist())
-                held.append(ids)
-                sizes.append(count)
-                names += some.column(0).to_pylist()
-                total += len(ids)
-                if total >= shard_ids:
-                    yield _shard(part, seq, np.concatenate(held), np.concatenate(sizes), names, base, end)
-                    held, sizes, names, total, seq = [], [], [], 0, seq + 1
+            for i, j in _slices(batch.column(1)):
+                more, count = encoder.encode(batch.column(1).slice(i, j - i))
+                ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, count])
+                names += batch.column(0).slice(i, j - i).to_pylist()
+                ends = np.cumsum(sizes)
+                done = 0
+                while len(sizes) > done and ends[-1] - (ends[done - 1] if done else 0) >= shard_ids:
+                    before = int(ends[done - 1]) if done else 0
+                    k = int(np.searchsorted(ends, before + shard_ids)) + 1
+                    yield _shard(part, seq, ids[before : ends[k - 1]], sizes[done:k], names[done:k], encoder.base, end)
+                    done, seq = k, seq + 1
+                if done:
+                    ids, sizes, names = ids[ends[done - 1] :], sizes[done:], names[done:]
         if names:
-            yield _shard(part, seq, np.concatenate(held), np.concatenate(sizes), names, base, end)
+            yield _shard(part, seq, ids, sizes, names, encoder.base, end)
 
     ordered.mapInArrow(pack, SHARD).write.option("compression", "zstd").mode("overwrite").parquet(path)
     release(spark)
 
 
 def _shard(part: int, seq: int, ids: np.ndarray, sizes: np.ndarray, names: list, base: int, end: int) -> pa.RecordBatch:
-    narrow = base < 60_000
-    symbols, rules = compress(ids, end, base, (65_536 if narrow else 1 << 24) - base)
+    symbols, rules = compress(ids, end, base)
+    narrow = base + len(rules) <= 1 << 16
     kind = np.uint16 if narrow else np.uint32
     grammar = Grammar(rules, base)
     lengths = grammar.lengths

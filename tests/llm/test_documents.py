@@ -107,7 +107,7 @@ def test_rows_of_one_id_are_one_document(spark):
     assert {(r[0], r[2]) for r in minhash_dedup.near_duplicates(t).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
-def test_token_round_trip_and_random_access(spark, docs, rows, none, tmp_path):
+def test_token_round_trip_and_random_access(spark, docs, rows, none, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -117,6 +117,7 @@ def test_token_round_trip_and_random_access(spark, docs, rows, none, tmp_path):
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     all_ = docs.select("doc_id", "text").union(more)
     out = str(tmp_path / "t")
+    monkeypatch.setattr(token_store, "SLICE", 500)
     token_store.write_tokens(all_, out, path, shard_ids=700)
     got = token_store.read_tokens(spark, out, with_ids=True).orderBy("start").collect()
     texts = [(i, t) for i, t, *_ in rows] + [(1000 + i, t) for i, t in enumerate(odd)]
@@ -140,11 +141,33 @@ def test_repair_shrinks_and_expands():
     rng = np.random.default_rng(1)
     ids = np.concatenate([np.tile(rng.integers(3, 50, 40), 60), rng.integers(3, 50000, 500), [7] * 301])
     ids[rng.integers(0, len(ids), 30)] = 2
-    s, rules = token_store.compress(ids, 2, 50257, 15000)
+    s, rules = token_store.compress(ids, 2, 50257)
     g = token_store.Grammar(rules, 50257)
     assert len(s) < len(ids) / 2 and len(rules)
     assert g.expand(s).tolist() == ids.tolist()
     assert not (rules == 2).any()
+    # no pair is left that is frequent, and every rule is used
+    left = Counter(p for p in zip(s[:-1].tolist(), s[1:].tolist(), strict=True) if 2 not in p)
+    assert max(left.values()) < 12
+    assert set(range(50257, 50257 + len(rules))) <= {*s.tolist(), *rules.ravel().tolist()}
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
+def test_encoding_by_pieces_is_that_of_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc, r = Tokenizer.from_file(path), token_store.Encoder(path, 2), random.Random(19)
+    alphabet = list("aé漢🙂'stll19.,!?-") + [" "] * 6 + ["\n", "\t", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "\x0b", "\u200b", "\ufeff", "\u180e", "<|endoftext|>", "\x00", "\u0301", "\u0120"]
+    texts = ["", " ", "a", " a", "a ", "a\n", "a <|endoftext|> b", "x<|endoftext|>y z"]
+    texts += ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(4000)]
+    texts += [" ".join("".join(r.choices("abcdé'.", k=r.randint(1, 9))) for _ in range(200)) for _ in range(50)]
+    for some in (texts, texts[:1], texts[:0], [" "], texts[-3:]):
+        ids, n = enc.encode(pa.array(some, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n))[: len(some)]]
+        assert got == [tok.encode(t, add_special_tokens=False).ids + [2] for t in some]
 
 
 @pytest.mark.parametrize(("hot", "buffer"), [(10**6, 1 << 19), (3, 64)])
