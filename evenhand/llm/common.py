@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenhand.functions.ship import ship
 
 #: Seconds of a job from which its shuffle files are worth a collection of the driver's garbage.
-LONG_JOB = 2.0
+LONG_JOB = 0.5
 _SWEPT: set[str] = set()
 
 

@@ -56,6 +56,8 @@ def _packed(prefix: str, count: int) -> list[str]:
 
 
 PACKED, FINE_PACKED = _packed("s", COARSE), _packed("t", FINE)
+#: The keys of the bands, cut to 31 bits.
+KEYS = [f"k{b}" for b in range(BANDS)]
 
 
 def _all_shingles(line: Column) -> Column:
@@ -144,8 +146,8 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, lid, comp, n_key) of members of buckets that hold several components."""
-    placed = members.join(found, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("comp"))
+    """(key, band, lid, comp, n_key) of members of buckets that hold several components."""
+    placed = members.join(found, F.col("lid") == F.col("node"), "left").select("key", "band", "lid", F.coalesce("component", "lid").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_key")).where("lo < hi").select("key", "n_key")
     return placed.join(mixed, "key")
 
@@ -183,20 +185,25 @@ def _fine_pairs(cand: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _last_links(members: DataFrame, found: DataFrame, sigs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): links between lines of one bucket and of different components; sigs has all minima and n of the lines that count."""
+    """(a, b): links between lines of one bucket and of different components; sigs has all minima, KEYS and n of the lines that count."""
     names, count = PACKED + FINE_PACKED, COARSE + FINE
-    rest = written(_unsettled(members, found).join(sigs.select("lid", "n", *names), "lid"), "rest")
+    rest = written(_unsettled(members, found).join(sigs.select("lid", "n", *KEYS, *names), "lid"), "rest")
     near = _partnered(rest, names, count, threshold, sized=True)
+    rest = _picked(rest, near)
     hashes = _picked(lines, near).select(F.col("lid").alias("own"), F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("set"))
     # a bucket's size is that of the lines that are left, or more
-    one, two, meet = _sides(_picked(rest, near).join(hashes, F.col("lid") == F.col("own")).drop("own"))
+    one, two, meet = _sides(rest.join(hashes, F.col("lid") == F.col("own")).drop("own"))
     agreement = _agreement(names, [c + "_2" for c in names], count) >= _least_agreement(threshold, count)
+    # a pair is looked at in the first band that it shares
+    first = F.lit(BANDS)
+    for b, k in reversed(list(enumerate(KEYS))):
+        first = F.when(F.col(k) == F.col(k + "_2"), b).otherwise(first)
+    once = first == F.col("band")
     # different shingles may share a hash, so that at most the lost members of the smaller loss are missing in common
     common = F.size(F.array_intersect("set", "set_2")) + F.least(F.col("n") - F.size("set"), F.col("n_2") - F.size("set_2"))
     similar = common * (100 + threshold) >= (F.col("n") + F.col("n_2")) * threshold
-    both = one.join(two, meet & (F.col("lid") < F.col("lid_2")) & _sizes_fit(threshold) & agreement & similar)
+    both = one.join(two, meet & (F.col("lid") < F.col("lid_2")) & _sizes_fit(threshold) & agreement & once & similar)
     pairs = written(both.select(F.col("lid").alias("a"), F.col("lid_2").alias("b")).distinct(), "pairs")
-    drop_written(rest)
     return _confirmed(pairs, lines, threshold)
 
 
@@ -207,7 +214,7 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     and by number in the text; it is a decimal below 2**124, so no id overflows.
     """
     text, low = F.col(f"`{text_col}`").cast("string"), 1 << 28
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(low - 1)).alias("th"), text.alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _th(text).alias("th"), text.alias("text"))
     each = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "th", "no", F.trim("raw").alias("line")).where("line <> ''")
     place = F.coalesce(F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
     pos = ((place * F.lit(low).cast("decimal(10,0)")).cast("decimal(30,0)") + F.col("th")).cast("decimal(30,0)")
@@ -229,14 +236,16 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = written(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
     signed = written(_signed(lines, ROWS, BANDS, PACKED), "signed")
 
-    spread = signed.select("lid", F.explode("keys").alias("key"))
+    spread = signed.select("lid", F.posexplode("keys").alias("band", "key"))
     buckets = written(spread.groupBy("key").agg(F.min("lid").alias("lead"), F.max("lid").alias("last"), F.count("*").alias("cnt")).where("cnt > 1"), "buckets")
     large = written(buckets.where("cnt > 2").select(F.col("key").alias("large"), "lead"), "large")
-    members = written(spread.join(_few(large), F.col("key") == F.col("large")).select("key", "lid", "lead"), "members")
+    members = written(spread.join(_few(large), F.col("key") == F.col("large")).select("key", "band", "lid", "lead"), "members")
     twos = buckets.where("cnt = 2").select(F.col("lead").alias("a"), F.col("last").alias("b"))
     stars = written(twos.union(members.where("lid <> lead").select(F.col("lead").alias("a"), F.col("lid").alias("b"))).distinct(), "stars")
+    drop_written(buckets, large)
     pairs = written(_similar(stars, signed, PACKED, COARSE, threshold), "pairs")
     links = written(_confirmed(pairs, lines, threshold), "links")
+    drop_written(stars, pairs)
     found = components(links)
 
     rest = _unsettled(members, found)
@@ -245,12 +254,12 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not near.isEmpty():
         some = written(_picked(lines.select("lid", "line"), near), "some")
         n = some.select("lid", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
-        fine = written(_signed(some, FINE_ROWS, FINE_BANDS, FINE_PACKED, COARSE).join(n, "lid").join(_picked(signed.select("lid", *PACKED), near), "lid"), "fine")
+        fine = written(_signed(some, FINE_ROWS, FINE_BANDS, FINE_PACKED, COARSE).join(n, "lid").join(_picked(signed.select("lid", *[F.col("keys")[b].bitwiseAND(F.lit(LOW)).cast("int").alias(k) for b, k in enumerate(KEYS)], *PACKED), near), "lid"), "fine")
         drop_written(signed, rest)
         tried = written(_similar(written(_fine_pairs(fine, found), "tried"), fine, FINE_PACKED, FINE, threshold), "pairs")
         links = links.union(written(_confirmed(tried, lines, threshold), "links"))
         found = components(links)
-        last = written(_last_links(_picked(members.select("key", "lid"), near), found, fine, lines, threshold), "links")
+        last = written(_last_links(_picked(members.select("key", "band", "lid"), near), found, fine, lines, threshold), "links")
         if not last.isEmpty():
             found = components(links.union(last))
     firsts = lines.select("lid", "pos").join(found, F.col("lid") == F.col("node")).groupBy("component").agg(F.min("pos").alias("keep"))
@@ -267,13 +276,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, str]:
-    """``docs`` with the numbers of the lines to remove (null: none) in a column of a free name, and that name."""
-    name = free_name(docs, base="removed")
-    gid, gth = free_name(docs, base="removed_id"), free_name(docs, base="removed_th")
-    gone = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias(gid), F.col("th").alias(gth), F.col("removed").alias(name))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gid)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")).bitwiseAND(F.lit((1 << 28) - 1)) == F.col(gth))
-    return docs.join(gone, same, "left").drop(gid, gth), name
+def _th(text: Column) -> Column:
+    """28 bits of a hash of a text, which tell rows of one id apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 28) - 1))
+
+
+def _with_removed(rows: DataFrame, gone: DataFrame, row_id: Column, th: Column) -> tuple[DataFrame, str]:
+    """``rows`` with the numbers of the lines to remove (null: none) in a column of a free name, and that name."""
+    name, gid, gth = (free_name(rows, base=x) for x in ("removed", "removed_id", "removed_th"))
+    gone = gone.select(F.col("id").alias(gid), F.col("th").alias(gth), F.col("removed").alias(name))
+    return rows.join(gone, row_id.eqNullSafe(F.col(gid)) & (th == F.col(gth)), "left").drop(gid, gth), name
 
 
 def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
@@ -283,8 +295,9 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that repeat id and text are one: each copy keeps the same lines. Rows that share an id only are told
     apart by their texts. Other columns pass through, whatever their names; an empty table gives none.
     """
-    joined, name = _with_removed(docs, id_col, text_col, threshold)
     text = F.col(f"`{text_col}`")
+    gone = removed_lines(docs, id_col, text_col, threshold)
+    joined, name = _with_removed(docs, gone, F.col(f"`{id_col}`").cast("long"), _th(text.cast("string")))
     clean = F.when(F.col(name).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(name), i)), "\n"))
     return joined.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -294,11 +307,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text has no lines. An empty table gives none. Null and repeated ids: see deduplicated_lines.
     """
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined, name = _with_removed(slim, "doc_id", "text", threshold)
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    text = F.col(f"`{text_col}`").cast("string")
+    n = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _th(text).alias("th"), F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    joined, name = _with_removed(rows, removed_lines(docs, id_col, text_col, threshold), F.col("doc_id"), F.col("th"))
     removed = F.coalesce(F.col(name), F.array().cast("array<int>"))
-    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
