@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,16 @@ def bin_texts(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of stretches of a column of strings or binaries, of about ``size`` bytes and one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+        yield i, j
+        i = j
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal ``keys``, from batches sorted by them.
 

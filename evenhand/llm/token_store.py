@@ -2,8 +2,8 @@
 
 Texts are encoded with the ``tokenizers`` library; an end id closes each document. The rows go in
 ascending id order, and each shard of about ``shard_ids`` ids is a grammar of its own: as long as a pair
-of ids occurs ``least`` times, pairs become nonterminals, the most frequent first (those within a
-quarter of the highest count go together, and where two overlap the more frequent one is replaced).
+of ids occurs ``least`` times, pairs become nonterminals, the most frequent first (those within an
+eighth of the highest count go together, and where two overlap the more frequent one is replaced).
 No nonterminal holds an end id, so each document is a run of symbols. A shard keeps its rules, the
 expansion length of each rule and where each document's symbols begin: any document, or any range of
 ids, is decoded without the rest.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import release, scratch_path, ship, table
+from evenhand.llm.common import release, scratch_path, ship, slices, table
 
 #: Bytes of text whose distinct pieces are encoded together.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Pieces that the tokenizer gets in one string.
 JOINED = 30
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
@@ -39,7 +40,7 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts by their space-led pieces, of which each slice of texts encodes each distinct one once.
+    """Encodes texts by their space-led pieces, each distinct one of a slice of texts once.
 
     In the byte-level pattern a space after a character that isn't white space always begins a new piece,
     whatever went before. The pieces of all texts of a slice are therefore cut at spaces and encoded
@@ -47,7 +48,7 @@ class Encoder:
     apart. Texts where this doesn't hold (see _IRREGULAR) are encoded whole. Nothing is kept between slices.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, known: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -56,21 +57,36 @@ class Encoder:
         self.leads = np.zeros(self.base, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.leads[i] = token.startswith("\u0120")  # how the vocabulary writes a space
+        self.known, self.words, self.flat, self.sizes = known, pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of " " + word for all words, number of ids of each)."""
-        joined = self._ids([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
-        flat = _flat(joined)
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, place): where in ids and sizes the ids of " " + word are, for each of the distinct words."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        if len(self.words) + len(new) > self.known:  # forget the older ones, or all
+            keep = max(0, min(len(self.words), self.known // 2 - len(new)))
+            self.words, self.sizes = self.words.slice(len(self.words) - keep), self.sizes[len(self.sizes) - keep :]
+            self.flat = self.flat[len(self.flat) - int(self.sizes.sum()) :].copy()
+            self.words = pa.concat_arrays([self.words])
+            place = pc.index_in(words, value_set=self.words)
+            new = words.filter(pc.is_null(place))
+        some = new.to_pylist()
+        flat = _flat(self._ids([" " + " ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]))
         starts = np.flatnonzero(self.leads[flat])
-        if len(starts) != len(words):
+        if len(starts) != len(some):
             raise ValueError("the tokenizer doesn't begin a piece at each space")
-        return flat, np.diff(np.append(starts, len(flat)))
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(some))
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, np.diff(np.append(starts, len(flat)))])
+        return self.flat, self.sizes, at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each); texts: strings without nulls."""
+        texts = texts.cast(pa.large_string())
         whole = pc.match_substring_regex(texts, _IRREGULAR)
         odd = whole.to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(texts.filter(pc.invert(whole)), " ")
@@ -78,27 +94,26 @@ class Encoder:
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(lengths) - lengths
-        names = coded.dictionary.to_pylist()
         # a text's first word has no space before it
         led = np.ones(len(which), bool)
         led[first] = False
         used = np.unique(which[led])
-        place = np.zeros(len(names), np.int64)
-        place[used] = np.arange(len(used))
-        flat, sizes = self._pieces([names[i] for i in used.tolist()])
-        alone = self._ids([names[i] for i in which[first].tolist()] + texts.filter(whole).to_pylist())
+        place = np.zeros(len(coded.dictionary), np.int64)
+        flat, sizes, place[used] = self._pieces(coded.dictionary.take(pa.array(used)))
+        kept = len(sizes)
+        alone = self._ids(coded.dictionary.take(pa.array(which[first])).to_pylist() + texts.filter(whole).to_pylist())
         flat = np.concatenate([flat, _flat(alone), np.array([self.end], np.uint32)])
         sizes = np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone)), [1]])
         start = np.cumsum(sizes) - sizes
         which = place[which]
-        which[first] = len(used) + np.arange(len(first))
+        which[first] = kept + np.arange(len(first))
         # items of each text in order, and an end
         count = np.full(len(texts), 2, np.int64)
         count[~odd] = lengths + 1
         last = np.cumsum(count) - 1
         items = np.full(int(count.sum()), -1, np.int64)
         items[last] = len(sizes) - 1
-        items[last[odd] - 1] = len(used) + len(first) + np.arange(int(odd.sum()))
+        items[last[odd] - 1] = kept + len(first) + np.arange(int(odd.sum()))
         items[items < 0] = which
         size = sizes[items]
         at = np.repeat(start[items] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -106,17 +121,7 @@ class Encoder:
 
 
 def _flat(ids: list[list[int]]) -> np.ndarray:
-    return np.fromiter((x for e in ids for x in e), np.uint32, sum(map(len, ids)))
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, stop) of stretches of about SLICE bytes, of one text at least."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    i = 0
-    while i < len(ends):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
-        yield i, j
-        i = j
+    return np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
@@ -125,18 +130,23 @@ def _slot(code: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): Re-Pair of ids until no pair occurs ``least`` times; rule i is what first_symbol + i stands for."""
-    s, rules = ids.astype(np.uint32), np.empty(0, np.uint64)
+    s, rules, cut = ids.astype(np.uint32), np.empty(0, np.uint64), len(ids)
     while len(s) > 1:
         code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         slot = _slot(code)
-        # slots count no pair too low, so only pairs that may be frequent are sorted
-        busy = np.bincount(slot, minlength=1 << SLOTS)[slot] >= least
-        at = np.flatnonzero(busy & (s[:-1] != end) & (s[1:] != end))
-        pairs, count = np.unique(code[at], return_counts=True)
-        top = int(count.max()) if len(count) else 0
+        # slots count no pair too low: only pairs that may be among the most frequent are sorted
+        rough, inner = np.bincount(slot, minlength=1 << SLOTS), (s[:-1] != end) & (s[1:] != end)
+        cut = max(least, min(cut, int(rough.max())))
+        while True:
+            at = np.flatnonzero((rough[slot] >= cut) & inner)
+            pairs, count = np.unique(code[at], return_counts=True)
+            top = int(count.max()) if len(count) else 0
+            if top >= cut or cut == least:
+                break
+            cut = max(least, cut // 4)
         if top < least:
             break
-        often = np.flatnonzero(count >= max(least, top / 4))
+        often = np.flatnonzero(count >= max(cut, top / 8))
         pairs = pairs[often[np.argsort(-count[often], kind="stable")]]
         where = _slot(pairs)
         _, keep = np.unique(where, return_index=True)  # a pair whose slot is taken waits for the next turn
@@ -241,7 +251,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_co
         encoder, part, seq = _ENCODERS[key], TaskContext.get().partitionId(), 0
         ids, sizes, names = np.empty(0, np.uint32), np.empty(0, np.int64), []
         for batch in batches:
-            for i, j in _slices(batch.column(1)):
+            for i, j in slices(batch.column(1), SLICE):
                 more, count = encoder.encode(batch.column(1).slice(i, j - i))
                 ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, count])
                 names += batch.column(0).slice(i, j - i).to_pylist()
