@@ -63,14 +63,17 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """Blocks of a gzip file of one or more members, each inflated once."""
-    z = zlib.decompressobj(31)
+    """Blocks of a gzip file of one or more members, each inflated once; a member that isn't whole is an error."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(BLOCK):
         while data:
+            begun = True
             yield z.decompress(data)  # deflate grows a block a thousandfold at most
             data = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
+                z, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,7 +110,7 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def parse_header(head: bytes) -> dict[str, str]:
     lines = head.decode().split("\r\n")
-    return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
 def write_monolithic(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
@@ -236,6 +239,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written to archives, normalised and read back. Null html is an empty payload; see ``revisits``."""
     folder = scratch_path(spark, "warc")
     _mkdir(spark, folder)
     pages = revisits(table(spark, sf_dir, "pages"))
