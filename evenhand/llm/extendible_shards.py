@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import drop_written, table, written
+from evenhand.llm.common import drop_written, free_name, table, written
 
 STEP = 10
 BITS = 120
 LIMIT = 32 << 20
+#: The registered query's limit is small, so that shards split, and single texts exceed it, in tables of any size.
+QUERY_LIMIT = 64 << 10
 
 
 def _bits(md5) -> F.Column:
@@ -83,27 +85,33 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_co
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet, partitioned by shard."""
+    """Write ``docs`` as Parquet, partitioned by shard; the shard of all rows ('') is named by Spark's default partition."""
     with_shards(docs, limit, id_col, text_col).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def with_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with columns shard, shard_depth, shard_bytes; the shard is found from each row's hash and a directory.
 
-    The directory grows with the corpus, so it is joined, not broadcast. A column of these names is
-    replaced.
+    The directory grows with the corpus, so it is joined, not broadcast. Columns of these three names are
+    replaced; others pass through, whatever their names. Null and empty texts have no bytes; null and
+    repeated ids are told apart by their texts, and rows that repeat altogether share a shard. An empty
+    table gives an empty one.
     """
     kept = docs.drop("shard", "shard_depth", "shard_bytes")
+    found = sharded(docs, limit, id_col, text_col).select("bits", "shard", F.col("depth").alias("shard_depth"), "shard_bytes").dropDuplicates(["bits"])
+    own = free_name(kept, found, base="own_bits")
+    theirs = free_name(kept, found, base="found_bits")
     bits = _bits(row_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    found = sharded(docs, limit, id_col, text_col).select(F.col("bits").alias("_bits"), "shard", F.col("depth").alias("shard_depth"), "shard_bytes").dropDuplicates(["_bits"])
-    return kept.withColumn("_own_bits", bits).join(found, F.col("_own_bits") == F.col("_bits")).drop("_own_bits", "_bits")
+    joined = kept.withColumn(own, bits).join(found.withColumnRenamed("bits", theirs), F.col(own) == F.col(theirs))
+    return joined.select(*[F.col(f"`{c}`") for c in kept.columns], "shard", "shard_depth", "shard_bytes")
 
 
 def op3_extendible_shards(spark, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows", "fits")
+    """The shard of each document. Null texts have no bytes; an empty table gives none; see ``sharded``."""
+    return sharded(table(spark, sf_dir, "documents"), QUERY_LIMIT).select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows", "fits")
 
 
-def shards_sql(limit: int = LIMIT, depth: int = 24) -> str:
+def shards_sql(limit: int = QUERY_LIMIT, depth: int = 24) -> str:
     """The same by prefix sums at all depths at once (for tables that need no deeper shards)."""
     return f"""
 WITH h AS MATERIALIZED (
