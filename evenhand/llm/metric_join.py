@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import drop_written, min_labels, run_starts, runs, ship, table, written
 from evenhand.llm.components import components
 
-SLACK = 1e-9
+#: Above the rounding error of sqrt(2 - 2 * x.p), which is about 2e-8 near 0.
+SLACK = 1e-7
 
 
 def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -50,7 +51,7 @@ def _pivots(classes: DataFrame, cell: int, most: int) -> dict[tuple[int, int], n
     # draws by hash, then exactly k of each label by rank among few
     drawn = classes.join(F.broadcast(wanted), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.col("k") * 8 / F.col("n") * (1 << 30))
     picked = drawn.groupBy("label", "dim", "k").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("rep").alias("h"), "v"))).alias("all")).select("label", "dim", F.slice("all", 1, F.col("k")).alias("some"))
-    return {(r[0], r[1]): _units(pa.array([s["v"] for s in r[2]], pa.list_(pa.float32()))) for r in picked.collect() if len(r[2]) > 1}
+    return {(r[0], r[1]): _units(pa.array([s["v"] for s in r[2]], pa.list_(pa.float64()))) for r in picked.collect() if len(r[2]) > 1}
 
 
 def vector_links(
@@ -75,9 +76,11 @@ def vector_links(
     spark = vectors.sparkSession
     ship(spark)
     radius = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    double = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    kind = "array<double>" if double else "array<float>"
     v = F.col(f"`{vector_col}`")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), v.cast("array<float>").alias("v"), F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False)).alias("good"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), (v if double else v.cast("array<float>")).alias("v"), F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False)).alias("good"))
     rows = rows.withColumn("key", F.when(F.col("good") & F.col("label").isNotNull(), F.col("v")))
     keyed = written(rows.select("id", "label", "key"), "vectors")
     classes = rows.where("key IS NOT NULL").groupBy("label", "key").agg(F.min("id").alias("low"), F.count("*").alias("times"))
@@ -118,7 +121,7 @@ def vector_links(
                     home = own[row] == to
                 yield pa.RecordBatch.from_arrays([part.column(i).take(pa.array(row)) for i in range(5)] + [pa.array(to.astype(np.int32)), pa.array(home)], names=["label", "dim", "rep", "times", "v", "cell", "home"])
 
-    dealt = written(slim_classes.mapInArrow(deal, "label long, dim int, rep long, times long, v array<float>, cell int, home boolean"), "cells")
+    dealt = written(slim_classes.mapInArrow(deal, "label long, dim int, rep long, times long, v " + kind + ", cell int, home boolean"), "cells")
     counts = dealt.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("nh"), F.count("*").alias("na")).where("na > 1")
     k = counts.select("label", "dim", "cell", F.ceil(F.col("nh") / block).cast("int").alias("kh"), F.ceil(F.col("na") / block).cast("int").alias("ka")).where("kh > 0")
     placed = dealt.join(k, ["label", "dim", "cell"])
@@ -187,6 +190,7 @@ def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[pa.Table, np.ndarray]]:
 
 
 def op4_metric_join(spark, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at a cosine of 0.93. Vectors that aren't whole link with nothing; see vector_links."""
     return vector_links(table(spark, sf_dir, "embeddings"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenhand.llm.common import bin_texts, binary_rows, min_labels, mix64, run_starts, runs, ship, slim, table, written
+from evenhand.llm.common import bin_texts, binary_rows, free_name, min_labels, mix64, run_starts, runs, ship, slim, table, written
 from evenhand.llm.components import components
 
 BLOCK = 1024
@@ -340,16 +340,19 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: that with the least id; rows that repeat an id stay once.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: that with the least id; the columns of ``docs``, whatever their names.
 
-    Rows with a null id all stay.
+    Rows that repeat an id stay once. Rows with a null id, and rows with a null or empty text, which link
+    with nothing, all stay. An empty table gives an empty one.
     """
-    kept = near_duplicates(docs, id_col, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    name = free_name(docs, base="kept_id")
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
     key = F.col(f"`{id_col}`")
-    one = docs.join(kept, key.cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    one = docs.join(kept, key.cast("long") == F.col(name), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(key.isNull()))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents at 0.85. Null or empty texts link with nothing; see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import table, written
+from evenhand.llm.common import free_name, table, written
 
 #: Production weights: level -> name -> integer weight; names that aren't listed weigh 1.
 WEIGHTS: dict[str, dict[str, int]] = {
@@ -134,25 +134,25 @@ def mixed(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as its epochs; the columns of ``docs``.
+    """The rows of ``docs`` that the mix takes, each as often as its epochs; the columns of ``docs``, whatever their names.
 
-    Rows that share an id in one leaf are taken or left together.
+    Rows that share an id in one leaf are taken or left together. Null ids are one id, null lang and
+    source are names of their own, and a null or empty text has no tokens: see ``mixed``. An empty table
+    gives an empty one.
     """
     domain = options.get("domain", DOMAIN)
-    took = mixed(docs, id_col=id_col, **options).where("epochs > 0").select(
-        F.col("id").alias("_id"), F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "epochs"
-    ).dropDuplicates(["_id", "_domain", "_lang", "_source"]).withColumnRenamed("epochs", "_epochs")
-    same = (
-        F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
-        & (F.coalesce(F.expr(domain).cast("string"), F.lit("")) == F.col("_domain"))
-        & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang"))
-        & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source"))
-    )
-    joined = docs.join(took, same)
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _epochs)"))).select(*docs.columns)
+    took = mixed(docs, id_col=id_col, **options).where("epochs > 0").select("id", "domain", "lang", "source", "epochs").dropDuplicates(["id", "domain", "lang", "source"])
+    own = {c: free_name(docs, base=f"took_{c}") for c in took.columns}
+    took = took.select(*[F.col(c).alias(name) for c, name in own.items()])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own["id"]))
+    for c, value in (("domain", F.expr(domain)), ("lang", F.col("lang")), ("source", F.col("source"))):
+        same = same & (F.coalesce(value.cast("string"), F.lit("")) == F.col(own[c]))
+    copies = docs.join(took, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr(f"sequence(1L, `{own['epochs']}`)")).alias(free_name(docs, base="took_copy")))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document. Nulls, ties and repeated rows: see ``mixed``."""
     return mixed(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "domain", "lang", "source", "tokens", "epochs")
 
 

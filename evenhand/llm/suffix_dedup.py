@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import bin_texts, mix64, run_starts, runs, ship, table, written
 
 BUFFER = 1 << 19
+#: Bits that hold any place in a buffer of less than 2 * BUFFER + length bytes.
+PLACE_BITS = 22
 HOT_BLOCK = 2000
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
@@ -85,7 +87,10 @@ class Chosen:
         self.pieces = pieces
         data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
         ends = np.cumsum([len(p[2]) for p in pieces])
-        bits = np.uint64(max(1, int(len(data)).bit_length()))
+        # as many bits in every buffer, so that equal strings decide ties alike wherever they are
+        bits = np.uint64(PLACE_BITS)
+        if len(data) >> PLACE_BITS:
+            raise ValueError("a buffer holds too many bytes")
         low = (np.uint64(1) << bits) - np.uint64(1)
         self.rank = Rolling(data).all(k)
         m = (self.rank & ~low) | np.arange(len(self.rank), dtype=np.uint64)
@@ -304,8 +309,8 @@ def _same(a: Column, b: Column) -> Column:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the texts as (id, th, text) and, for each with repeated strings, its spans as start, end, start, ..."""
-    if length < 4:
-        raise ValueError("length must be 4 at least")
+    if not 4 <= length <= 1 << 20:
+        raise ValueError("length must be from 4 to 2**20")
     ship(docs.sparkSession)
     k = length // 4
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text")).select(
@@ -365,5 +370,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated strings of 200 bytes. Null texts are empty; see without_repeats."""
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

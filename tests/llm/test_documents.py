@@ -164,7 +164,8 @@ def test_encoding_by_pieces_is_that_of_whole_texts():
     texts = ["", " ", "a", " a", "a ", "a\n", "a <|endoftext|> b", "x<|endoftext|>y z"]
     texts += ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(4000)]
     texts += [" ".join("".join(r.choices("abcdé'.", k=r.randint(1, 9))) for _ in range(200)) for _ in range(50)]
-    for some in (texts, texts[:1], texts[:0], [" "], texts[-3:]):
+    small = token_store.Encoder(path, 2, known=300)
+    for enc, some in [(enc, x) for x in (texts, texts[:1], texts[:0], [" "], texts[-3:])] + [(small, texts[i : i + 25]) for i in range(0, len(texts), 25)]:
         ids, n = enc.encode(pa.array(some, pa.string()))
         got = [x.tolist() for x in np.split(ids, np.cumsum(n))[: len(some)]]
         assert got == [tok.encode(t, add_special_tokens=False).ids + [2] for t in some]
@@ -190,7 +191,7 @@ def test_repeats_meet_brute_force(spark, docs, rows, none, monkeypatch, hot, buf
     assert suffix_dedup.without_repeats(none).count() == 0
 
 
-def test_decontamination_meets_brute_force(spark, docs, rows, none):
+def test_decontamination_meets_brute_force(spark, docs, rows, none, monkeypatch):
     pick = [t for _, t, *_ in rows if t and len(t) > 200]
     items = [(1, pick[0][20:120]), (2, "two words"), (3, None), (4, ""), (5, "  "), (10, pick[1].upper()), (10, "one"), (None, "eps zeta eta 9"), (7, "absent from all of the documents here at least i hope so")]
     bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, id string, n_words int")
@@ -211,16 +212,37 @@ def test_decontamination_meets_brute_force(spark, docs, rows, none):
                     hit |= set(range(k, k + len(x)))
                     names |= {str(item)} if item is not None else set()
         want[(i, len(w), len(hit), tuple(sorted(names)))] += 1
-    for part in (1 << 20, 100):  # one part, and several
+    for part, stretch in ((1 << 20, 4 << 20), (1 << 20, 300), (100, 300)):  # one part, and several
+        monkeypatch.setattr(decontam, "SLICE", stretch)
         out = decontam.benchmark_hits(docs, bench, part_bytes=part).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in out) == want
-    clean = decontam.decontaminated(docs, bench)
-    assert clean.columns == docs.columns
-    assert clean.count() == sum(n for k, n in want.items() if k[2] == 0)
+    for part in (1 << 20, 100):
+        clean = decontam.decontaminated(docs, bench, part_bytes=part)
+        assert clean.columns == docs.columns
+        assert clean.count() == sum(n for k, n in want.items() if k[2] == 0)
     assert decontam.decontaminated(docs, bench.limit(0)).count() == len(rows)
     assert decontam.benchmark_hits(none, bench).count() == 0
 
 
+def test_tables_of_windows_are_small():
+    """16 MB of benchmark: the tables' peak, besides the texts, stays below ten bytes a byte."""
+    import tracemalloc
+
+    r = random.Random(23)
+    some = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(r.choices(some, k=1000)).encode()) for i in range(2500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    known = decontam.Patterns(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 14 << 20 and peak < 14 * size
+    held = sum(x.nbytes for t in known.lengths for x in (t.keys, t.shifts, t.bucket, t.start, t.item)) + known.lengths[0].words.nbytes
+    assert held < 10 * size
+    n, spans, names = decontam._look([b"x " + b" ".join(items[7][1].split()[100:115]), b" ".join(items[8][1].split()[:9])], known)
+    assert (n, spans, names) == ([16, 9], [[[1, 15]], []], [["7"], []])
+
+
 def test_lines_meet_brute_force(spark, docs, rows, none):
     texts = {i: t for i, t, *_ in rows if i is not None and t}
     long = " ".join(f"word{i}" for i in range(40))

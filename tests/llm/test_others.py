@@ -1,6 +1,7 @@
 """Embeddings, pages, mixing, shards and the pipeline."""
 
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter
@@ -8,9 +9,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evenhand.llm import extendible_shards, metric_join, mixing, warc
+from evenhand.llm import decontam, extendible_shards, line_dedup, metric_join, minhash_dedup, mixing, quality, warc
 from evenhand.llm.common import scratch_path
 from tests.llm.test_documents import SCHEMA, find, odd_rows
 
@@ -214,3 +216,99 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in out.collect())
     assert got and all(bench not in (r["text"] or "") for r in got)
+
+
+def test_temporary_names_do_not_clash(spark):
+    """A table that has every name an operator may choose for itself keeps its columns and values."""
+    names = ["kept_id", "kept_id_", "took_id", "took_domain", "took_lang", "took_source", "took_epochs", "took_copy", "own_bits", "found_bits", "bits", "id", "shard_", "hit_t1", "hit_t2", "t1", "removed", "removed_id", "removed_th", "_kept", "_id", "_copy", "_bits", "_own_bits", "rep", "node", "component", "epochs", "tokens", "domain_"]
+    rows = [(i, f"text {i} of some words that differ {i * 7}", "en", "src1", *range(100 * i, 100 * i + len(names))) for i in range(6)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    bench = spark.createDataFrame([(1, "no such passage in any text here at all i am sure of it")], "item_id long, text string")
+    for out in (
+        minhash_dedup.deduplicated(t),
+        mixing.mix(t, share=100, max_epochs=1),
+        decontam.decontaminated(t, bench),
+        decontam.decontaminated(t, bench.union(bench), part_bytes=60),
+        line_dedup.deduplicated_lines(t),
+        extendible_shards.with_shards(t).drop("shard", "shard_depth", "shard_bytes"),
+    ):
+        assert out.columns == t.columns
+        assert sorted(tuple(r) for r in out.collect()) == sorted(rows)
+
+
+def test_archive_that_breaks_off_between_records_raises():
+    whole = b"".join(warc.record(i, "http://a.b/", b"x" * 50, "d", None) for i in range(2))
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    first = warc.record(0, "http://a.b/", b"x" * 50, "d", None)
+    cut = z.compress(first) + z.flush(zlib.Z_FULL_FLUSH)
+    with pytest.raises(ValueError, match="gzip member"):
+        list(warc.records(warc.inflate(io.BytesIO(cut))))
+    one = zlib.compressobj(6, zlib.DEFLATED, 31)
+    assert len(list(warc.records(warc.inflate(io.BytesIO(one.compress(whole) + one.flush()))))) == 2
+    assert warc.parse_header(b"WARC/1.0\r\nContent-Length:12\r\nWARC-Type:  response")["content-length"] == "12"
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Two vectors whose cosine is below the limit as doubles and reaches it as floats."""
+    rng, limit = np.random.default_rng(8), 0.93
+
+    def cosine(x, y):
+        return x @ y / np.sqrt((x @ x) * (y @ y))
+
+    for _ in range(200_000):
+        x, y = rng.normal(size=3), rng.normal(size=3)
+        y = y - x * (x @ y) / (x @ x)
+        y = x / np.sqrt(x @ x) * limit + y / np.sqrt(y @ y) * (np.sqrt(1 - limit**2) + 1e-9)
+        u, v = (z.astype(np.float32).astype(float) for z in (x, y))
+        if cosine(x, y) < limit - 1e-12 <= cosine(u, v) and cosine(u, v) > limit + 1e-12:
+            break
+    else:
+        raise AssertionError("no such vectors")
+    rows = [(1, x.tolist(), 0), (2, y.tolist(), 0)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [r["n_links"] for r in metric_join.vector_links(t, cosine=limit).collect()] == [0, 0]
+    f = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert [r["n_links"] for r in metric_join.vector_links(f, cosine=limit).collect()] == [1, 1]
+
+
+def test_shards_are_written_and_read_back(spark, docs, tmp_path):
+    extendible_shards.write_shards(docs, str(tmp_path / "s"), 200)
+    back = spark.read.option("recursiveFileLookup", "false").parquet(str(tmp_path / "s"))
+    want = extendible_shards.with_shards(docs, 200)
+    assert back.count() == docs.count()
+    assert len(list((tmp_path / "s").glob("shard=*"))) == want.select("shard").distinct().count() > 3
+
+
+def test_first_split_is_the_best_by_brute_force():
+    """One tree of depth one: the split with the largest gain over all features and limits."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (200, 5)).astype(float)
+    y = ((x[:, 3] > 6) ^ (rng.random(200) < 0.1)).astype(float)
+    tree = quality.grow(x, y, trees=1, depth=1, least=10)
+    g = y - y.mean()
+    h = np.full(len(y), y.mean() * (1 - y.mean()))
+
+    def gain(j, limit):
+        left = x[:, j] <= limit
+        if min(left.sum(), (~left).sum()) < 10:
+            return 0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1.0) for s in (left, ~left))
+
+    best = max((gain(j, limit), j, limit) for j in range(5) for limit in np.unique(x[:, j])[:-1])
+    left = x[:, best[1]] <= best[2]
+    assert tree.feature[0, 0] == best[1]
+    assert ((x[:, tree.feature[0, 0]] <= tree.limit[0, 0]) == left).all()
+    assert np.allclose(tree.leaf[0], [0.15 * g[s].sum() / (h[s].sum() + 1.0) for s in (left, ~left)])
+
+
+def test_held_out_quality_on_the_given_labels(spark):
+    """Accuracy and rank order on the rows that the fit never sees."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = quality.scored(docs.select("doc_id", "text"), quality.fit(docs, labels)).join(labels, "doc_id")
+    held = [(r["score"], r["quality"]) for r in out.where(quality.held_out(F.col("doc_id"))).collect()]
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    assert len(held) > 50 and good and bad
+    assert np.mean([(s >= 0.3) == (q == 1) for s, q in held]) > 0.95
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
