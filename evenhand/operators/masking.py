@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenhand.frame import FairFrame
 from evenhand.functions.draws import uniform
+from evenhand.functions.names import free_name
 from evenhand.functions.ranks import ranked
 from evenhand.operators.linear import Logistic
 from evenhand.operators.oversample import _given_back, _smote_rows, owned
@@ -27,10 +28,11 @@ def weighted_vote(votes: list[Column], weights: list[float], values: list) -> Co
 def hold_out(df: DataFrame, key: str, seed: int, share: float = 0.2, member: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, rest): the rest are the ceil(share n) rows that come first by a keyed draw."""
     n = df.count()
-    marked = df.withColumn("_draw", uniform(seed, "split", member, F.col(key))).withColumn("_all", F.lit(0))
-    r = ranked(marked, ["_all"], "_draw", key)
+    draw, all_, rank = (free_name(df, base=x) for x in ("_draw", "_all", "_rank"))
+    marked = df.withColumn(draw, uniform(seed, "split", member, F.col(key))).withColumn(all_, F.lit(0))
+    r = ranked(marked, [all_], draw, key, out=rank, even=True)
     cut = -(-int(n * share * 1_000_000) // 1_000_000)
-    return r.where(F.col("_rank") >= cut).drop("_draw", "_all", "_rank"), r.where(F.col("_rank") < cut).drop("_draw", "_all", "_rank")
+    return r.where(F.col(rank) >= cut).drop(draw, all_, rank), r.where(F.col(rank) < cut).drop(draw, all_, rank)
 
 
 class _OneVsRest:

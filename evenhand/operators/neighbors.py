@@ -19,6 +19,18 @@ from evenhand.functions.ship import ship
 BLOCK = 2048
 
 
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row in order, ties by column; only rows that tie at the end are sorted whole."""
+    if d.shape[1] <= 2 * k:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    some = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    best = np.take_along_axis(d, some, axis=1)
+    top = np.take_along_axis(some, np.argsort(best, axis=1, kind="stable"), axis=1)
+    tied = np.flatnonzero((d <= best.max(axis=1, keepdims=True)).sum(axis=1) > k)
+    top[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return top
+
+
 def knn(points: DataFrame, key: str, columns: list[str], k: int, within: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(key, nn_key, rank from 1, d2) of the k nearest other rows by squared Euclidean distance; ties go by key.
 
@@ -46,7 +58,7 @@ def knn(points: DataFrame, key: str, columns: list[str], k: int, within: list[st
                 diff = a[c].to_numpy()[s : s + 256, None] - y
                 d += diff * diff
             d[keys[s : s + 256, None] == bk] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            top = _first(d, k)
             best_q.append(np.repeat(keys[s : s + 256], top.shape[1]))
             best_r.append(bk[top].ravel())
             best_d.append(np.take_along_axis(d, top, axis=1).ravel())

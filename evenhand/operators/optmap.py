@@ -7,6 +7,7 @@ driver (its size is bounded by ``max_variables``); application is a join and a d
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,8 +21,17 @@ from evenhand.functions.draws import uniform
 from evenhand.operators import lp
 
 
-def joint_distribution(ff: FairFrame, features: list[str]) -> DataFrame:
-    """(sens, features.., label, n, p) over the full product of domains."""
+def domain_sizes(ff: FairFrame, features: list[str]) -> list[int]:
+    """How many values the sensitive column, the features and the label have."""
+    row = ff.df.agg(*[F.count_distinct(F.struct(F.col(c))).alias(f"d{i}") for i, c in enumerate((ff.sens, *features, ff.label))]).first()
+    return [int(x) for x in row]
+
+
+def joint_distribution(ff: FairFrame, features: list[str], most: int = 1_000_000) -> DataFrame:
+    """(sens, features.., label, n, p) over the full product of domains, of ``most`` cells at most."""
+    cells = math.prod(domain_sizes(ff, features))
+    if cells > most:
+        raise ValueError(f"the product of domains has {cells} cells; the limit is {most}")
     cols = [ff.sens, *features, ff.label]
     counts = ff.df.groupBy(*cols).agg(F.count("*").alias("n"))
     grid = counts.select(cols[0]).distinct()
@@ -83,13 +93,14 @@ class RandomizedMap:
         if absent:
             raise ValueError(f"no such column: {', '.join(absent)}")
         cols = [ff.sens, *self.features, ff.label]
-        rows = joint_distribution(ff, self.features).orderBy(*cols).limit(self.max_variables + 1).collect()
+        sizes = domain_sizes(ff, self.features)
+        if (variables := math.prod(sizes) * math.prod(sizes[1:])) > self.max_variables:
+            raise ValueError(f"the grid has {variables} variables; the limit is {self.max_variables}")
+        rows = joint_distribution(ff, self.features).orderBy(*cols).collect()  # less than max_variables
         cells = [tuple(r[c] for c in cols) for r in rows]
         p = np.array([r["p"] for r in rows])
         goals = sorted({c[1:] for c in cells})
         nc, ng = len(cells), len(goals)
-        if nc * ng > self.max_variables:
-            raise ValueError(f"the grid has {nc * ng} variables; the limit is {self.max_variables}")
         groups = sorted({c[0] for c in cells})
         labels = sorted({g[-1] for g in goals})
         nv = nc * ng

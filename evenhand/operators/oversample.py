@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from evenhand.frame import FairFrame
 from evenhand.functions.draws import pick, uniform
-from evenhand.functions.ranks import indexed
+from evenhand.functions.ranks import indexed, numbered
 from evenhand.operators.neighbors import knn, local_density, typology
 
 #: Put before the frame's own column names while rows are made, so that none clashes with a working column.
@@ -49,7 +49,7 @@ def _cast(value: Column, kind: T.DataType) -> Column:
 
 def _new_rows(plan: DataFrame) -> DataFrame:
     """(cell, n, j): j from 1 to need for cells that need rows."""
-    return plan.where("need > 0 AND n > 0").select("cell", "n", F.explode(F.expr("sequence(1L, need)")).alias("j"))
+    return numbered(plan.where("need > 0 AND n > 0").select("cell", "n", "need"), F.col("need"), "j", first=1).drop("need")
 
 
 def _side(df: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:

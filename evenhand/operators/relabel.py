@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import FairFrame
+from evenhand.functions.names import free_name
 from evenhand.functions.ranks import first_by
 from evenhand.operators.linear import Logistic, scored_by
 
@@ -42,9 +43,10 @@ def massage(ff: FairFrame, score: Column | object | None = None) -> DataFrame:
     scored = scored_by(base, ff.df, ff.pos).select(key, "score", ff.is_priv.alias("_p"), ff.is_pos.alias("_y"))
     up = first_by(scored.where(~F.col("_p") & ~F.col("_y")), m, F.col("score"), key, ascending=False)
     down = first_by(scored.where(F.col("_p") & F.col("_y")), m, F.col("score"), key)
-    flips = up.select(F.col(key).alias("_k")).union(down.select(F.col(key).alias("_k"))).withColumn("_f", F.lit(True))
+    k, f = free_name(ff.df, base="_k"), free_name(ff.df, base="_f")
+    flips = up.select(F.col(key).alias(k)).union(down.select(F.col(key).alias(k))).withColumn(f, F.lit(True))
     neg = ff.df.where(~ff.is_pos).select(F.min(ff.label)).first()[0]
-    joined = ff.df.join(flips, F.col(key) == F.col("_k"), "left").withColumn("flipped", F.coalesce("_f", F.lit(False))).drop("_k", "_f")
+    joined = ff.df.join(flips, F.col(key) == F.col(k), "left").withColumn("flipped", F.coalesce(f, F.lit(False))).drop(k, f)
     other = F.when(ff.is_pos, F.lit(neg)).otherwise(F.lit(ff.pos)).cast(ff.df.schema[ff.label].dataType)
     return joined.withColumn(ff.label, F.when(F.col("flipped"), other).otherwise(F.col(ff.label)))
 
@@ -61,6 +63,7 @@ def drop_disagreements(ff: FairFrame, predictors: tuple[Column, Column] | None =
     a, b = est.fit(ff.df.where(ff.is_priv)), est.fit(ff.df.where(~ff.is_priv))
     if hasattr(a, "score"):
         return ff.df.where((a.score() > 0.5) == (b.score() > 0.5))
-    one = a.transform(ff.df).select(*ff.df.columns, F.col("prediction").alias("_a"))
-    two = b.transform(one).select(*ff.df.columns, "_a", F.col("prediction").alias("_b"))
-    return two.where(F.col("_a") == F.col("_b")).drop("_a", "_b")
+    p, q = free_name(ff.df, base="_a"), free_name(ff.df, base="_b")
+    one = a.transform(ff.df).select(*ff.df.columns, F.col("prediction").alias(p))
+    two = b.transform(one).select(*ff.df.columns, p, F.col("prediction").alias(q))
+    return two.where(F.col(p) == F.col(q)).drop(p, q)

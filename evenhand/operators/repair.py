@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.functions.ranks import binned, last_ranks, ranked
+from evenhand.functions.ranks import binned, last_ranks, numbered, ranked
 
 
 def _bucketed(df: DataFrame, sens: str, col: str) -> tuple[DataFrame, int]:
@@ -31,7 +31,7 @@ def quantile_edges(df: DataFrame, sens: str, col: str, buckets: int, key: str) -
     """(sens, j, q) for j from 0 to B: linearly interpolated quantiles, by joins on the rank."""
     at = ranked(df.select(sens, key, F.col(col).cast("double").alias("_v")), [sens], "_v", key).select(F.col(sens).alias("_g"), "_rank", "_v")
     sizes = df.groupBy(sens).agg(F.count("*").alias("n"))
-    grid = sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(buckets)))).withColumn("lo", F.expr(f"((n - 1) * j) div {buckets}"))
+    grid = numbered(sizes, F.lit(buckets + 1), "j").withColumn("j", F.col("j").cast("int")).withColumn("lo", F.expr(f"((n - 1) * j) div {buckets}"))
     grid = grid.withColumn("frac", F.expr(f"((n - 1) * j) % {buckets}") / F.lit(float(buckets))).withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1))
     lo = at.select(F.col("_g").alias("g1"), F.col("_rank").alias("r1"), F.col("_v").alias("v1"))
     hi = at.select(F.col("_g").alias("g2"), F.col("_rank").alias("r2"), F.col("_v").alias("v2"))
@@ -44,7 +44,7 @@ def repair_targets(df: DataFrame, sens: str, col: str, key: str) -> DataFrame:
     rows, b = _bucketed(df.select(sens, key, F.col(col).cast("double").alias("_v")), sens, "_v")
     med = rows.groupBy(sens, F.col("_bucket").alias("bucket")).agg(F.median("_v").alias("m"))
     groups = df.select(sens).distinct()
-    grid = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))))
+    grid = numbered(groups, F.lit(b), "bucket")
     filled = grid.join(med, [sens, "bucket"], "left")
     edges = quantile_edges(df, sens, col, b, key)
     q0 = edges.select(sens, F.col("j").cast("long").alias("bucket"), F.col("q").alias("q0"))
@@ -69,6 +69,11 @@ class RepairModel:
     def targets(self) -> dict[str, DataFrame]:
         return {c: t[1] for c, t in self.tables.items()}
 
+    def release(self) -> None:
+        """Let go of the tables that ``fit`` made and keeps; a later transform makes them again."""
+        for edges, targets, _ in self.tables.values():
+            edges.unpersist(), targets.unpersist()
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Repair rows, also new ones: clip to the group's range, look the bucket up, move by ``lam``.
 
@@ -117,7 +122,9 @@ class QuantileRepair:
         tables = {}
         for c in self.columns:
             _, b = _bucketed(df.select(self.sens, F.col(c).cast("double").alias("_v")), self.sens, "_v")
-            tables[c] = (quantile_edges(df, self.sens, c, b, self.key), repair_targets(df, self.sens, c, self.key), b)
+            edges, targets = quantile_edges(df, self.sens, c, b, self.key).persist(), repair_targets(df, self.sens, c, self.key).persist()
+            edges.count(), targets.count()  # made once, not at each transform
+            tables[c] = (edges, targets, b)
         return RepairModel(self.sens, self.lam, self.key, tables, self.unseen)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.frame import FairFrame
+from evenhand.functions.names import free_name
 
 
 def reweighing_table(ff: FairFrame) -> DataFrame:
@@ -30,9 +31,10 @@ def balance_table(ff: FairFrame, variant: bool = False) -> DataFrame:
 
 
 def _applied(ff: FairFrame, table: DataFrame, out: str) -> DataFrame:
-    small = table.select(F.col("s").alias("_s"), F.col("c").alias("_c"), F.col("weight").alias(out))
+    s, c = free_name(ff.df, base="_s"), free_name(ff.df, base="_c")
+    small = table.select(F.col("s").alias(s), F.col("c").alias(c), F.col("weight").alias(out))
     # groups x labels rows; Spark decides on broadcasting from the measured size
-    return ff.df.join(small, (F.col(ff.sens) == F.col("_s")) & (F.col(ff.label) == F.col("_c"))).drop("_s", "_c")
+    return ff.df.join(small, (F.col(ff.sens) == F.col(s)) & (F.col(ff.label) == F.col(c))).drop(s, c)
 
 
 def reweigh(ff: FairFrame, out: str = "weight") -> DataFrame:

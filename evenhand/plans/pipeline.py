@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenhand.frame import FairFrame
 from evenhand.functions.draws import uniform
+from evenhand.functions.names import free_name
 from evenhand.functions.ranks import ranked
 from evenhand.operators.metrics import FAIRNESS, fairness_report, performance_report
 
@@ -52,15 +54,17 @@ class FairPipelineModel:
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42, out: str = "fold") -> DataFrame:
     """``df`` with a fold from 0 to k - 1, dealt evenly inside each label in the order of a keyed draw."""
-    r = ranked(df.withColumn("_draw", uniform(seed, "fold", F.col(key))), [label], "_draw", key)
-    return r.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_draw", "_rank")
+    draw, rank = free_name(df, base="_draw"), free_name(df, base="_rank")
+    r = ranked(df.withColumn(draw, uniform(seed, "fold", F.col(key))), [label], draw, key, out=rank, even=True)
+    return r.withColumn(out, (F.col(rank) % k).cast("int")).drop(draw, rank)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: int = 20, seed: int = 42, out: str = "is_test") -> DataFrame:
     """``df`` with ``out``: the first ceil(share % of n) rows of each label by a keyed draw."""
-    r = ranked(df.withColumn("_draw", uniform(seed, "split", F.col(key))), [label], "_draw", key)
-    sizes = df.groupBy(label).agg(F.expr(f"(count(*) * {share} + 99) div 100").alias("_cut"))
-    return r.join(sizes, label).withColumn(out, F.col("_rank") < F.col("_cut")).drop("_draw", "_rank", "_cut")
+    draw, rank, cut = (free_name(df, base=x) for x in ("_draw", "_rank", "_cut"))
+    r = ranked(df.withColumn(draw, uniform(seed, "split", F.col(key))), [label], draw, key, out=rank, even=True)
+    sizes = df.groupBy(label).agg(F.expr(f"(count(*) * {share} + 99) div 100").alias(cut))
+    return r.join(sizes, label).withColumn(out, F.col(rank) < F.col(cut)).drop(draw, rank, cut)
 
 
 def cross_validate(ff: FairFrame, make: Callable[[], FairPipeline], k: int = 5, seed: int = 42, name: str = "method") -> DataFrame:
@@ -86,7 +90,33 @@ def null_profile(df: DataFrame, placeholder: str = "?") -> DataFrame:
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))  # one row a value
+    total = df.agg(F.count("*").alias("total"))  # one row, however many values there are
+    return counts.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def numeric_summary(df: DataFrame) -> DataFrame:
+    """(column, count, mean, std, min, q25, q50, q75, max) of each numeric column, nulls left out; quartiles are interpolated."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    rows = []
+    for c in names:
+        v = F.col(f"`{c}`").cast("double")
+        quarters = [F.percentile(v, q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
+        rows.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *quarters, F.max(v).alias("max")))
+    if not names:
+        raise ValueError("there is no numeric column")
+    return df.agg(F.array(*rows).alias("a")).select(F.inline("a"))
+
+
+def object_summary(df: DataFrame) -> DataFrame:
+    """(column, count, unique, top, freq) of each string or boolean column, nulls left out; ties of the top go to the least value."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BooleanType)]
+    if not names:
+        raise ValueError("there is no string or boolean column")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]))
+    counts = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("p.value").alias("n"))
+    top = F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("m"), F.col("value"))))
+    out = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count_if(F.col("value").isNotNull()).alias("unique"), top.alias("t"))
+    return out.select("column", "count", "unique", F.col("t.value").alias("top"), (-F.col("t.m")).alias("freq"))
 
 
 def outcome_crosstab(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -194,6 +194,20 @@ for _key, _lam in (("repair_apply", 1.0), ("repair_partial", 0.5)):
         lambda s, d, lam=_lam: repair.QuantileRepair("c_mktsegment", ["c_acctbal"], "c_custkey", lam).fit_transform(_t(s, d, "customer")).select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
     )
 
+# fitted on the customers of some nations, applied to all: new rows are clipped to their group's range and looked up
+query(
+    _REPAIR.replace("AS n FROM customer)", "AS n FROM customer WHERE c_nationkey < 10)")
+    + """, x AS (SELECT c_custkey, c_mktsegment AS s, least(greatest(c_acctbal, lo), hi) AS v
+  FROM customer JOIN (SELECT s, min(q) AS lo, max(q) AS hi FROM e GROUP BY s) ON s = c_mktsegment),
+i AS (SELECT s, j, q FROM e, z WHERE j > 0 AND j < b),
+w AS (SELECT x.c_custkey, coalesce(max(j), 0) AS bucket FROM x LEFT JOIN i ON i.s = x.s AND q <= v GROUP BY x.c_custkey)
+SELECT c_custkey, round(target, 6) AS c_acctbal FROM w JOIN t USING (bucket)""",
+    "repair_transform",
+)(
+    lambda s, d: repair.QuantileRepair("c_mktsegment", ["c_acctbal"], "c_custkey").fit(_t(s, d, "customer").where("c_nationkey < 10")).transform(_t(s, d, "customer"))
+    .select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
+)
+
 PROTOS = [[0.1, 0.5], [0.6, 1.2], [0.9, 0.2]]
 _E = [f"exp(-(sqrt((z1 - {a}) * (z1 - {a}) + (z2 - {b}) * (z2 - {b}))))" for a, b in PROTOS]
 _LFR = ", ".join("round((" + " + ".join(f"{e} * {p[j]}" for e, p in zip(_E, PROTOS, strict=True)) + ") / (" + " + ".join(_E) + f"), 6) AS z{j + 1}" for j in range(2))
@@ -274,6 +288,9 @@ nn AS MATERIALIZED (SELECT * FROM {_nn('f', 5, 'cell')})
 SELECT b.cell, j, {', '.join(_de_col(c) for c in _OUT[:3])}, b.a, b.y FROM b
 LEFT JOIN nn k1 ON k1.key = b.c_custkey AND k1.rank = i1 + 1 LEFT JOIN nn k2 ON k2.key = b.c_custkey AND k2.rank = i2 + (i2 >= i1)::INT + 1
 LEFT JOIN f n1 ON n1.c_custkey = k1.nn_key LEFT JOIN f n2 ON n2.c_custkey = k2.nn_key"""
+query(f"SELECT {', '.join(_OUT)}, FALSE AS is_synthetic FROM {CUST} UNION ALL SELECT {', '.join(_OUT)}, TRUE FROM ({_DE})", "fair_smote_union")(
+    lambda s, d: oversample.oversample(_cust(s, d), "de").df.select(*_OUT, "is_synthetic")
+)
 query(_DE, "fair_smote")(lambda s, d: oversample.oversample(_cust(s, d), "de").synthetic.select("cell", "j", *_OUT))
 
 
@@ -364,6 +381,33 @@ query("SELECT o_orderpriority AS value, count(*) AS n, count(*) / sum(count(*))
 query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c}::VARCHAR = '?') AS placeholders FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")), "null_profile")(
     lambda s, d: pipeline.null_profile(_t(s, d, "customer"))
 )
+_NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal"]
+query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS std, min({c})::DOUBLE AS min,
+  {', '.join(f'round(quantile_cont({c}::DOUBLE, {q / 100}), 6) AS q{q}' for q in (25, 50, 75))}, max({c})::DOUBLE AS max FROM customer"""
+        for c in _NUMERIC
+    ),
+    "numeric_summary",
+)(lambda s, d: pipeline.numeric_summary(_t(s, d, "customer")).select("column", "count", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "std", "q25", "q50", "q75")]))
+query(
+    " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", sum(n)::BIGINT AS count, count(*) AS "unique", arg_min(v, (-n, v)) AS top, max(n) AS freq FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY {c}))"""
+        for c in ("c_name", "c_mktsegment")
+    ),
+    "object_summary",
+)(lambda s, d: pipeline.object_summary(_t(s, d, "customer")))
+
+
+def _region_results(spark, d) -> DataFrame:
+    wide = metrics.fairness_report(FairFrame(regions(spark, d).df, "s", "y", "p"), by=["r_name"])
+    return wide.select(F.col("r_name").alias("method"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mean")) for m in _FAIR])).alias("x")).select("method", "x.metric", "x.mean")
+
+
+query(
+    f"SELECT r_name AS method, {', '.join(_FAIR)}, abs(statistical_parity_difference) AS abs_spd FROM (SELECT r_name, {_ALL} FROM (SELECT r_name, {_BOTH} FROM (SELECT * REPLACE (s AS a) FROM {REG}) GROUP BY r_name))",
+    "results_pivot",
+)(lambda s, d: pipeline.results_pivot(_region_results(s, d)))
 _DRAW = "row_number() OVER (PARTITION BY y ORDER BY {0}, o_orderkey) - 1"
 query(f"SELECT o_orderkey, ({_DRAW.format(u(42, quote('split'), 'o_orderkey'))}) < (count(*) OVER (PARTITION BY y) * 20 + 99) // 100 AS is_test FROM {ORD}", "train_val_split")(
     lambda s, d: pipeline.stratified_split(orders(s, d).df, "y", "o_orderkey").select("o_orderkey", "is_test")

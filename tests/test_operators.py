@@ -245,3 +245,60 @@ def test_a_fit_that_has_not_converged_says_so(spark):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 5), i % 2, int(i % 3 > 0)) for i in range(60)], "k long, x1 double, x2 double, a int, y int")
     with pytest.warns(UserWarning, match="converged"):
         prototypes.PrototypeRepresentation(k=2, steps=1).fit(FairFrame(df, "a", "y", key="k"))
+
+
+def test_numbered_rows_come_in_chunks(spark, monkeypatch):
+    from evenhand.functions import ranks
+
+    monkeypatch.setattr(ranks, "CHUNK", 4)
+    t = spark.createDataFrame([("a", 10), ("b", 0), ("c", None), ("d", 4), ("e", 1)], "_chunk string, n long")
+    got = sorted((r["_chunk"], r["j"]) for r in ranks.numbered(t, F.col("n"), "j", first=1).collect())
+    assert got == sorted([("a", i) for i in range(1, 11)] + [("d", i) for i in range(1, 5)] + [("e", 1)])
+
+
+def test_ranks_with_many_bins_and_clashing_names(spark, monkeypatch):
+    from evenhand.functions import ranks
+
+    monkeypatch.setattr(ranks, "WIDTH", 3)
+    rows = [(i, (i * 37 % 50) / 50, i % 2, "x", "y", "z") for i in range(50)]
+    t = spark.createDataFrame(rows, "k int, v double, g int, _bin string, _n string, _before string")
+    for even in (False, True):
+        out = ranks.ranked(t, ["g"], "v", "k", even=even)
+        assert set(out.columns) == {*t.columns, "_rank"}
+        for g in (0, 1):
+            want = [r[0] for r in sorted((r for r in rows if r[2] == g), key=lambda r: (r[1], r[0]))]
+            assert [r["k"] for r in out.where(F.col("g") == g).orderBy("_rank").collect()] == want
+        assert {r["_bin"] for r in out.collect()} == {"x"}
+
+
+def test_weights_and_flips_keep_clashing_columns(spark):
+    rows = [(i, i % 2, int(i % 3 == 0), float(i), "s", "c", "k", "f") for i in range(24)]
+    ff = FairFrame(spark.createDataFrame(rows, "id long, g int, y int, x double, _s string, _c string, _k string, _f string"), "g", "y", key="id")
+    assert {tuple(r)[4:8] for r in weights.reweigh(ff).collect()} == {("s", "c", "k", "f")}
+    assert {tuple(r)[4:8] for r in relabel.massage(ff, F.col("x")).collect()} == {("s", "c", "k", "f")}
+
+
+def test_domains_are_counted_before_they_are_multiplied(spark):
+    ff = FairFrame(spark.createDataFrame([(i % 2, i, i % 3 % 2) for i in range(60)], "g int, x int, y int"), "g", "y")
+    with pytest.raises(ValueError, match="240 cells"):
+        optmap.joint_distribution(ff, ["x"], most=100)
+    with pytest.raises(ValueError, match="variables"):
+        optmap.RandomizedMap(["x"], lambda a, b: 0.0).fit(ff)
+
+
+def test_nearest_columns_with_ties():
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 6, (40, 30)).astype(float)
+    assert (neighbors._first(d, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_summaries_of_nulls_and_ties(spark):
+    from evenhand.plans.pipeline import numeric_summary, object_summary
+
+    t = spark.createDataFrame([(1, None, "b", True), (None, 2.0, "a", True), (3, 4.0, None, None)], "i int, x double, s string, b boolean")
+    n = {r["column"]: r for r in numeric_summary(t).collect()}
+    assert (n["i"]["count"], n["i"]["mean"], n["i"]["q25"], n["x"]["max"]) == (2, 2.0, 1.5, 4.0)
+    o = {r["column"]: tuple(r)[1:] for r in object_summary(t).collect()}
+    assert o == {"s": (2, 2, "a", 1), "b": (2, 1, "true", 2)}
+    empty = object_summary(t.limit(0)).collect()
+    assert empty == [] and numeric_summary(t.limit(0)).count() == 2
