@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.functions.ship import ship
+from evenhand.functions.names import free_name  # noqa: F401  the operators take both from here
+from evenhand.functions.ship import ship  # noqa: F401
 
 #: Seconds of a job from which its shuffle files are worth a collection of the driver's garbage.
 LONG_JOB = 0.5
@@ -184,15 +185,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def free_name(*frames: DataFrame, base: str) -> str:
-    """A column name that none of the frames has, whatever its case."""
-    taken = {c.lower() for df in frames for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns``, so that other columns can't clash with an operator's own."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
