@@ -125,20 +125,25 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    if code.dtype == np.uint32:
+        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)).astype(np.intp)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.intp)
 
 
 def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): Re-Pair of ids until no pair occurs ``least`` times; rule i is what first_symbol + i stands for."""
     s, rules, cut = ids.astype(np.uint32), np.empty(0, np.uint64), len(ids)
     while len(s) > 1:
-        code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
+        # two symbols in 32 bits as long as they fit
+        small = first_symbol + len(rules) < 1 << 16
+        code = (s[:-1] << np.uint32(16)) | s[1:] if small else (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
         slot = _slot(code)
         # slots count no pair too low: only pairs that may be among the most frequent are sorted
-        rough, inner = np.bincount(slot, minlength=1 << SLOTS), (s[:-1] != end) & (s[1:] != end)
+        rough, inside = np.bincount(slot, minlength=1 << SLOTS), s != end
+        inside = inside[:-1] & inside[1:]
         cut = max(least, min(cut, int(rough.max())))
         while True:
-            at = np.flatnonzero((rough[slot] >= cut) & inner)
+            at = np.flatnonzero((rough >= cut)[slot] & inside)
             pairs, count = np.unique(code[at], return_counts=True)
             top = int(count.max()) if len(count) else 0
             if top >= cut or cut == least:
@@ -168,6 +173,8 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         best[1:] &= ~beside[1:-1] | (key[1:] < key[:-1])
         best[:-1] &= ~beside[1:-1] | (key[:-1] < key[1:])
         at, rank = at[best], rank[best]
+        if small:
+            pairs = (pairs.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (pairs & np.uint32(0xFFFF))
         # a pair that was left over in an earlier turn keeps its symbol
         order = np.argsort(rules, kind="stable")
         found = order[np.minimum(np.searchsorted(rules[order], pairs), len(rules) - 1)] if len(rules) else np.zeros(len(pairs), np.int64)
@@ -179,9 +186,7 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         symbol[fresh] = len(rules) + np.arange(int(fresh.sum()))
         rules = np.concatenate([rules, pairs[fresh]])
         s[at] = (first_symbol + symbol[rank]).astype(np.uint32)
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        s = s[left]
+        s = np.delete(s, at + 1)
     return s, np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
