@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +60,16 @@ class MaskedModel:
         self.base, self.sens, self.members, self.weights, self.values, self.label = base, sens, members, weights, values, label
 
     def masked(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.sens, weighted_vote([m.vote() for m in self.members], self.weights, self.values))
+        """``df`` with the committee's value in place of the sensitive one."""
+        out, votes = df, []
+        for m in self.members:
+            if isinstance(m, _OneVsRest):
+                votes.append(m.vote())
+                continue
+            name = free_name(out, base="_vote")
+            out = m.transform(out).select(*[F.col(f"`{c}`") for c in out.columns], F.col("prediction").alias(name))
+            votes.append(F.col(name))
+        return out.withColumn(self.sens, weighted_vote(votes, self.weights, self.values)).select(*[F.col(f"`{c}`") for c in df.columns])
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.base.transform(self.masked(df))
@@ -67,21 +79,33 @@ class MaskedModel:
 
 
 class MaskedClassifier:
-    """``budget`` members, each fitted on its own 80 % with the sensitive classes balanced; weights are accuracies on the rest."""
+    """``budget`` members, each fitted on its own 80 % with the sensitive classes balanced; weights are accuracies on the rest.
+
+    ``extrapolation(features, sens)`` gives the estimator of a member: its model's ``transform`` adds
+    ``prediction``, the sensitive value. Default: logistic regressions, one a value. Only numeric columns
+    are features; others are left out with a warning.
+    """
 
-    def __init__(self, ff_key: str, base=None, budget: int = 10, seed: int = 42, k: int = 5):
-        self.key, self.base, self.budget, self.seed, self.k = ff_key, base, budget, seed, k
+    def __init__(self, ff_key: str, base=None, budget: int = 10, seed: int = 42, k: int = 5, extrapolation: Callable | None = None):
+        self.key, self.base, self.budget, self.seed, self.k, self.extrapolation = ff_key, base, budget, seed, k, extrapolation
 
     def fit(self, ff: FairFrame) -> MaskedModel:
         ff.check()
         features = ff.numeric
+        if left_out := [c for c in ff.others if c not in features]:
+            warnings.warn(f"columns that aren't numeric are left out: {', '.join(left_out)}", stacklevel=2)
         values = [r[0] for r in ff.df.select(ff.sens).distinct().orderBy(ff.sens).collect()]
         members, scores = [], []
         for m in range(self.budget):
             train, rest = (x.persist() for x in hold_out(ff.df, self.key, self.seed, member=m))
             even = self._balanced(ff, train, m).persist()
-            member = _OneVsRest(features, ff.sens, values, even)
-            right = rest.agg(F.avg((member.vote() == F.col(ff.sens)).cast("double"))).first()[0]
+            if self.extrapolation is None:
+                member = _OneVsRest(features, ff.sens, values, even)
+                voted, vote = rest, member.vote()
+            else:
+                member = self.extrapolation(features, ff.sens).fit(even)
+                voted, vote = member.transform(rest), F.col("prediction")
+            right = voted.agg(F.avg((vote == F.col(ff.sens)).cast("double"))).first()[0]
             members.append(member)
             scores.append(float(right or 0.0))
             for x in (train, rest, even):

@@ -39,6 +39,13 @@ def read_adult(spark: SparkSession, path: str, target: str = "Probability") -> D
     return _target(df.drop("native-country", "fnlwgt"), target, (F.col(target) == " >50K").cast("int") if target in df.columns else None)
 
 
+def split_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(features, target) as two frames of the same rows; both keep the order of the rows in their source."""
+    if target not in df.columns:
+        raise ValueError(f"no column {target}")
+    return df.drop(target), df.select(target)
+
+
 def _target(df: DataFrame, name: str, value: F.Column | None) -> DataFrame:
     if name not in df.columns:
         raise ValueError(f"no column {name}")

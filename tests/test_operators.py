@@ -302,3 +302,17 @@ def test_summaries_of_nulls_and_ties(spark):
     assert o == {"s": (2, 2, "a", 1), "b": (2, 1, "true", 2)}
     empty = object_summary(t.limit(0)).collect()
     assert empty == [] and numeric_summary(t.limit(0)).count() == 2
+
+
+def test_committee_of_given_models(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), float(x + rng.normal()), int(x + rng.normal() > 0), int(rng.random() < 0.5)) for i, x in enumerate(rng.normal(size=60))]
+    ff = FairFrame(spark.createDataFrame(rows, "id long, x1 double, x2 double, g int, y int").cache(), "g", "y", key="id")
+    one = masking.MaskedClassifier("id", budget=2).fit(ff)
+    two = masking.MaskedClassifier("id", budget=2, extrapolation=lambda features, sens: Logistic(features, sens)).fit(ff)
+    assert two.weights == pytest.approx(one.weights)
+    clash = ff.df.withColumn("_vote", F.lit("kept"))
+    assert two.masked(clash).columns == clash.columns
+    assert two.masked(clash).drop("_vote").orderBy("id").collect() == one.masked(ff.df).orderBy("id").collect()
+    with pytest.warns(UserWarning, match="left out: s"):
+        masking.MaskedClassifier("id", budget=1).fit(ff.with_df(ff.df.withColumn("s", F.lit("a"))))

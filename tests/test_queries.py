@@ -65,8 +65,12 @@ def test_readers(spark, tmp_path):
     adult.write_text("age,fnlwgt,race,sex,native-country,Probability\n39,1, White, Male, X, >50K\n20,2, Black, Female, Y, <=50K\n")
     a = readers.read_adult(spark, str(adult)).orderBy("age").collect()
     assert [(r["sex"], r["race"], r["Probability"]) for r in a] == [(0, 0, 0), (1, 1, 1)]
+    x, y = readers.split_target(readers.read_german(spark, str(german)), "credit")
+    assert "credit" not in x.columns and y.columns == ["credit"] and x.count() == y.count() == 2
     with pytest.raises(ValueError, match="no column"):
         readers.read_heart(spark, str(heart), target="no")
+    with pytest.raises(ValueError, match="no column"):
+        readers.split_target(x, "credit")
 
 
 def test_monitor_of_a_stream_meets_the_batch(spark, tmp_path):
