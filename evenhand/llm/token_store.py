@@ -35,7 +35,6 @@ JOINED = 30
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
 #: White space beside a space, or at the end: such texts go to the tokenizer as they are.
 _IRREGULAR = rf"{_WHITE} | {_WHITE}|^ |{_WHITE}$|<\|"
-SLOTS = 18
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -124,44 +123,84 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    if code.dtype == np.uint32:
-        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)).astype(np.intp)
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.intp)
+def _grouped(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, count, place): the distinct pairs that begin at ``at`` in ``s``, how many there are of each, and where, pair by pair."""
+    one, two = s[at].astype(np.uint64), s[at + 1].astype(np.uint64)
+    bits, place_bits = int(s.max()).bit_length(), len(s).bit_length()
+    if 2 * bits + place_bits <= 64:  # sorts pairs with their places at once
+        wide, low = np.uint64(bits), np.uint64(place_bits)
+        key = (((one << wide) | two) << low) | at.astype(np.uint64)
+        key.sort()
+        code, place = key >> low, (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    else:
+        wide, code = np.uint64(32), (one << np.uint64(32)) | two
+        order = np.argsort(code, kind="stable")
+        code, place = code[order], at[order]
+    begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    pairs = code[begin]
+    pairs = (pairs >> wide << np.uint64(32)) | (pairs & np.uint64((1 << int(wide)) - 1))
+    return pairs, np.diff(np.append(begin, len(code))), place
+
+
+def _apart(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, key) of positions no two of which are neighbours: by turns the least keys beside which nothing is taken yet."""
+    taken = []
+    while len(at):
+        beside = np.zeros(len(at) + 1, bool)
+        beside[1:-1] = at[1:] == at[:-1] + 1
+        best = np.ones(len(at), bool)
+        best[1:] &= ~beside[1:-1] | (key[1:] < key[:-1])
+        best[:-1] &= ~beside[1:-1] | (key[:-1] < key[1:])
+        taken.append((at[best] << 32) | key[best])
+        left = ~best
+        left[1:] &= ~(best[:-1] & beside[1:-1])
+        left[:-1] &= ~(best[1:] & beside[1:-1])
+        at, key = at[left], key[left]
+    both = np.sort(np.concatenate(taken)) if taken else at
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): Re-Pair of ids until no pair occurs ``least`` times; rule i is what first_symbol + i stands for."""
-    s, rules, cut = ids.astype(np.uint32), np.empty(0, np.uint64), len(ids)
+    """(symbols, rules): Re-Pair of ids until no pair occurs ``least`` times; rule i is what first_symbol + i stands for.
+
+    ``upper`` holds how often the pair that begins at a position occurred when it was last counted. That is
+    no less than now, except beside symbols that were given to leftovers later on: these are counted once
+    more before the end. A turn counts only positions that may reach ``cut``, an eighth of the highest
+    count; it falls when no pair reaches it.
+    """
+    s, rules = ids.astype(np.uint32), np.empty(0, np.uint64)
+    uncounted = np.iinfo(np.int32).max
+    upper, cut, again = np.full(len(s), uncounted, np.int32), 0, []
     while len(s) > 1:
-        # two symbols in 32 bits as long as they fit
-        small = first_symbol + len(rules) < 1 << 16
-        code = (s[:-1] << np.uint32(16)) | s[1:] if small else (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = _slot(code)
-        # slots count no pair too low: only pairs that may be among the most frequent are sorted
-        rough, inside = np.bincount(slot, minlength=1 << SLOTS), s != end
-        inside = inside[:-1] & inside[1:]
-        cut = max(least, min(cut, int(rough.max())))
-        while True:
-            at = np.flatnonzero((rough >= cut)[slot] & inside)
-            pairs, count = np.unique(code[at], return_counts=True)
-            top = int(count.max()) if len(count) else 0
-            if top >= cut or cut == least:
+        at = np.flatnonzero(upper[:-1] >= cut)
+        at = at[(s[at] != end) & (s[at + 1] != end)]
+        pairs, count, place = _grouped(s, at)
+        top = int(count.max()) if len(count) else 0
+        if not cut:
+            cut, upper[:] = max(least, top // 8), 0
+        upper[at] = 0
+        upper[place] = np.repeat(count, count)
+        if top < cut:
+            if cut > least:
+                cut = least if cut < 16 * least else cut // 8
+                continue
+            given = np.zeros(first_symbol + len(rules), bool)
+            given[again] = True
+            more = np.flatnonzero(given[s])
+            if not len(more):
                 break
-            cut = max(least, cut // 4)
-        if top < least:
-            break
-        often = np.flatnonzero(count >= max(cut, top / 8))
-        pairs = pairs[often[np.argsort(-count[often], kind="stable")]]
-        where = _slot(pairs)
-        _, keep = np.unique(where, return_index=True)  # a pair whose slot is taken waits for the next turn
-        keep.sort()
-        pairs, where = pairs[keep], where[keep]
-        rank_of = np.full(1 << SLOTS, -1, np.int64)
-        rank_of[where] = np.arange(len(pairs))
-        rank = rank_of[slot[at]]
-        ok = (rank >= 0) & (pairs[rank] == code[at])
-        at, rank = at[ok], rank[ok]
+            upper[more] = upper[np.maximum(more - 1, 0)] = uncounted
+            again = []
+            continue
+        often = np.flatnonzero(count >= cut)
+        often = often[np.argsort(-count[often], kind="stable")]
+        rank_of = np.full(len(pairs), -1, np.int64)
+        rank_of[often] = np.arange(len(often))
+        pairs = pairs[often]
+        rank = np.repeat(rank_of, count)
+        both = (place[rank >= 0] << 32) | rank[rank >= 0]
+        both.sort()
+        at, rank = both >> 32, both & 0xFFFFFFFF
         # of overlapping pairs the more frequent is replaced; of a row of one pair the first, third, ...
         beside = np.zeros(len(at) + 1, bool)
         beside[1:-1] = at[1:] == at[:-1] + 1
@@ -169,12 +208,8 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         new[1:] = ~beside[1:-1] | (rank[1:] != rank[:-1])
         run = np.flatnonzero(new)
         key = 2 * rank + ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1)
-        best = np.ones(len(at), bool)
-        best[1:] &= ~beside[1:-1] | (key[1:] < key[:-1])
-        best[:-1] &= ~beside[1:-1] | (key[:-1] < key[1:])
-        at, rank = at[best], rank[best]
-        if small:
-            pairs = (pairs.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (pairs & np.uint32(0xFFFF))
+        at, rank = _apart(at, key)
+        rank >>= 1
         # a pair that was left over in an earlier turn keeps its symbol
         order = np.argsort(rules, kind="stable")
         found = order[np.minimum(np.searchsorted(rules[order], pairs), len(rules) - 1)] if len(rules) else np.zeros(len(pairs), np.int64)
@@ -184,9 +219,15 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         fresh &= ~known
         symbol = np.where(known, found, 0)
         symbol[fresh] = len(rules) + np.arange(int(fresh.sum()))
+        again += (first_symbol + symbol[known]).tolist()
         rules = np.concatenate([rules, pairs[fresh]])
         s[at] = (first_symbol + symbol[rank]).astype(np.uint32)
-        s = np.delete(s, at + 1)
+        kept = np.ones(len(s), bool)
+        kept[at + 1] = False
+        s, upper = s[kept], upper[kept]
+        at -= np.arange(len(at))
+        upper[at] = uncounted
+        upper[np.maximum(at - 1, 0)] = uncounted
     return s, np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
