@@ -44,7 +44,8 @@ class Encoder:
     In the byte-level pattern a space after a character that isn't white space always begins a new piece,
     whatever went before. The pieces of all texts of a slice are therefore cut at spaces and encoded
     together; the first token of a piece, and no other, begins with the space, which tells the pieces
-    apart. Texts where this doesn't hold (see _IRREGULAR) are encoded whole. Nothing is kept between slices.
+    apart. Texts where this doesn't hold (see _IRREGULAR) are encoded whole. Up to ``known`` pieces of
+    earlier slices are kept; beyond that, the half that was used last.
     """
 
     def __init__(self, path: str, end: int, known: int = 1 << 20):
@@ -56,7 +57,9 @@ class Encoder:
         self.leads = np.zeros(self.base, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.leads[i] = token.startswith("\u0120")  # how the vocabulary writes a space
-        self.known, self.words, self.flat, self.sizes = known, pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int64)
+        #: Pieces of earlier slices without their space, their ids, how many each has, and the turn of their last use.
+        self.known, self.turn, self.words = known, 0, pa.array([], pa.large_string())
+        self.flat, self.sizes, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,24 +68,32 @@ class Encoder:
         """(ids, sizes, place): where in ids and sizes the ids of " " + word are, for each of the distinct words."""
         place = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(place))
-        if len(self.words) + len(new) > self.known:  # forget the older ones, or all
-            keep = max(0, min(len(self.words), self.known // 2 - len(new)))
-            self.words, self.sizes = self.words.slice(len(self.words) - keep), self.sizes[len(self.sizes) - keep :]
-            self.flat = self.flat[len(self.flat) - int(self.sizes.sum()) :].copy()
-            self.words = pa.concat_arrays([self.words])
-            place = pc.index_in(words, value_set=self.words)
-            new = words.filter(pc.is_null(place))
-        some = new.to_pylist()
-        flat = _flat(self._ids([" " + " ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]))
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.turn += 1
+        self.used[at[at >= 0]] = self.turn
+        if len(self.words) + len(new) > self.known:
+            at = self._forget(max(0, self.known // 2 - len(new)), at)
+            new = words.filter(pa.array(at < 0))
+        texts = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(new), JOINED), len(new)), pa.int32()), new)
+        flat = _flat(self._ids([" " + x for x in pc.binary_join(texts, pa.scalar(" ", pa.large_string())).to_pylist()]))
         starts = np.flatnonzero(self.leads[flat])
-        if len(starts) != len(some):
+        if len(starts) != len(new):
             raise ValueError("the tokenizer doesn't begin a piece at each space")
-        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        at[at < 0] = len(self.words) + np.arange(len(some))
-        self.words = pa.concat_arrays([self.words, new])
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        self.words, self.used = pa.concat_arrays([self.words, new]), np.append(self.used, np.full(len(new), self.turn))
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, np.diff(np.append(starts, len(flat)))])
         return self.flat, self.sizes, at
 
+    def _forget(self, keep: int, at: np.ndarray) -> np.ndarray:
+        """Keep the ``keep`` words that were used last; returns the new places of words for the places ``at``, -1 for none."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:keep])
+        start, size = (np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept]
+        self.flat = self.flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        moved = np.full(len(self.used) + 1, -1, np.int64)
+        moved[kept] = np.arange(len(kept))
+        self.words, self.sizes, self.used = self.words.take(pa.array(kept)), size, self.used[kept]
+        return moved[at]  # -1 takes the last, which is -1
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each); texts: strings without nulls."""
         texts = texts.cast(pa.large_string())
@@ -96,7 +107,7 @@ class Encoder:
         # a text's first word has no space before it
         led = np.ones(len(which), bool)
         led[first] = False
-        used = np.unique(which[led])
+        used = np.flatnonzero(np.bincount(which[led], minlength=len(coded.dictionary)))
         place = np.zeros(len(coded.dictionary), np.int64)
         flat, sizes, place[used] = self._pieces(coded.dictionary.take(pa.array(used)))
         kept = len(sizes)
