@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import release, scratch_path, ship, slices, table
 
 #: Bytes of text whose distinct pieces are encoded together.
-SLICE = 8 << 20
+SLICE = 12 << 20
 #: Pieces that the tokenizer gets in one string.
 JOINED = 30
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
@@ -126,7 +126,10 @@ class Encoder:
         items[last[odd] - 1] = kept + len(first) + np.arange(int(odd.sum()))
         items[items < 0] = which
         size = sizes[items]
-        at = np.repeat(start[items] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        total = int(size.sum())
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        at = np.repeat((start[items] - (np.cumsum(size) - size)).astype(kind), size)
+        at += np.arange(total, dtype=kind)
         return flat[at], np.add.reduceat(size, last + 1 - count) if len(count) else count
 
 
@@ -153,6 +156,17 @@ def _grouped(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return pairs, np.diff(np.append(begin, len(code))), place
 
 
+def _without(at: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """``arrays`` without their places ``at`` (ascending)."""
+    if len(at) > 1000:
+        kept = np.ones(len(arrays[0]), bool)
+        kept[at] = False
+        return [x[kept] for x in arrays]
+    ends = [*at.tolist(), len(arrays[0])]
+    begins = [0, *(at + 1).tolist()]
+    return [np.concatenate([x[i:j] for i, j in zip(begins, ends, strict=True)]) for x in arrays]
+
+
 def _apart(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(at, key) of positions no two of which are neighbours: by turns the least keys beside which nothing is taken yet."""
     taken = []
@@ -233,9 +247,7 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         again += (first_symbol + symbol[known]).tolist()
         rules = np.concatenate([rules, pairs[fresh]])
         s[at] = (first_symbol + symbol[rank]).astype(np.uint32)
-        kept = np.ones(len(s), bool)
-        kept[at + 1] = False
-        s, upper = s[kept], upper[kept]
+        s, upper = _without(at + 1, s, upper)
         at -= np.arange(len(at))
         upper[at] = uncounted
         upper[np.maximum(at - 1, 0)] = uncounted
