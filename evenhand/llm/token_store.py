@@ -209,9 +209,10 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
             if cut > least:
                 cut = least if cut < 16 * least else cut // 8
                 continue
-            given = np.zeros(first_symbol + len(rules), bool)
+            given = np.zeros(len(rules), bool)
             given[again] = True
-            more = np.flatnonzero(given[s])
+            deep = np.flatnonzero(s >= first_symbol)
+            more = deep[given[s[deep] - first_symbol]]
             if not len(more):
                 break
             upper[more] = upper[np.maximum(more - 1, 0)] = uncounted
@@ -244,7 +245,7 @@ def compress(ids: np.ndarray, end: int, first_symbol: int, least: int = 12) -> t
         fresh &= ~known
         symbol = np.where(known, found, 0)
         symbol[fresh] = len(rules) + np.arange(int(fresh.sum()))
-        again += (first_symbol + symbol[known]).tolist()
+        again += symbol[known].tolist()
         rules = np.concatenate([rules, pairs[fresh]])
         s[at] = (first_symbol + symbol[rank]).astype(np.uint32)
         s, upper = _without(at + 1, s, upper)

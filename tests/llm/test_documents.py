@@ -153,6 +153,24 @@ def test_repair_shrinks_and_expands():
     assert len({tuple(r) for r in rules.tolist()}) == len(rules)
 
 
+@pytest.mark.parametrize("first", [60, 50257, 1 << 30])
+def test_repair_leaves_no_frequent_pair(first):
+    """Few symbols, phrases that repeat, runs of one symbol; the largest ids don't fit beside their places in 64 bits."""
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        parts = [np.tile(rng.integers(3, 6 + 3 * seed, rng.integers(1, 40)), rng.integers(1, 60)) for _ in range(20)]
+        ids = np.concatenate([*parts, rng.integers(3, 8, 4000), [first - 1] * 50]).astype(np.uint32)
+        ids[rng.integers(0, len(ids), 25)] = 2
+        s, rules = token_store.compress(ids, 2, first)
+        assert token_store.Grammar(rules, first).expand(s).tolist() == ids.tolist()
+        left = Counter(p for p in zip(s[:-1].tolist(), s[1:].tolist(), strict=True) if 2 not in p)
+        assert max(left.values(), default=0) < 12
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+    for few in ([], [2], [5], [5, 5]):
+        s, rules = token_store.compress(np.array(few, np.uint32), 2, first)
+        assert s.tolist() == few and not len(rules)
+
+
 def test_encoding_by_pieces_is_that_of_whole_texts():
     import public_tokenizers
     import pyarrow as pa
