@@ -60,14 +60,21 @@ PACKED, FINE_PACKED = _packed("s", COARSE), _packed("t", FINE)
 KEYS = [f"k{b}" for b in range(BANDS)]
 
 
-def _all_shingles(line: Column) -> Column:
-    # a match takes one whole character, so none begins inside a surrogate pair
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+def _wide(line: Column) -> Column:
+    """A line in four bytes a character, so that a shingle is cut out without a walk from the beginning."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(wide: str) -> str:
+    """SQL of an array of the bytes from 1 where the shingles of a wide line begin; a shorter line is its only one."""
+    return f"sequence(1, greatest(length({wide}) - {4 * SHINGLE - 1}, 1), 4)"
 
 
 def shingles(line: Column) -> Column:
     """The set of a line, as an array that may repeat its members."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_all_shingles(line))
+    # a match takes one whole character, so none begins inside a surrogate pair
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
 def _cut(of: str, size: int) -> str:
@@ -79,7 +86,8 @@ def _signed(lines: DataFrame, rows: int, bands: int, names: list[str], first: in
     """(lid, keys, names) of each line: the keys of its bands and its minima in lanes, over all its shingles."""
     whole = lines.select("lid", F.explode(F.expr(f"CASE WHEN length(line) <= {BIG_CHUNK} THEN array(line) ELSE {_cut('line', BIG_CHUNK)} END")).alias("c"))
     chunks = whole.select("lid", F.explode(F.expr(f"CASE WHEN length(c) <= {CHUNK} THEN array(c) ELSE {_cut('c', CHUNK)} END")).alias("c"))
-    hashed = chunks.select("lid", F.explode(shingles(F.col("c"))).alias("s")).select("lid", F.xxhash64("s").bitwiseAND(F.lit(LOW)).alias("x"))
+    each = chunks.select("lid", _wide(F.col("c")).alias("w")).select("lid", "w", F.explode(F.expr(_starts("w"))).alias("i"))
+    hashed = each.select("lid", F.xxhash64(F.expr(f"substring(w, i, {4 * SHINGLE})")).bitwiseAND(F.lit(LOW)).alias("x"))
     count, aggs = rows * bands, []
     for i in range(first, first + count):
         # an odd factor permutes the numbers below 2**31; the product stays below 2**62
@@ -187,18 +195,16 @@ def _fine_pairs(cand: DataFrame, found: DataFrame) -> DataFrame:
 def _last_links(members: DataFrame, found: DataFrame, sigs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): links between lines of one bucket and of different components; sigs has all minima, KEYS and n of the lines that count."""
     names, count = PACKED + FINE_PACKED, COARSE + FINE
-    rest = written(_unsettled(members, found).join(sigs.select("lid", "n", *KEYS, *names), "lid"), "rest")
+    rest = written(_unsettled(members, found).join(sigs.select("lid", "n", F.array(*KEYS).alias("keys"), *names), "lid"), "rest")
     near = _partnered(rest, names, count, threshold, sized=True)
     rest = _picked(rest, near)
     hashes = _picked(lines, near).select(F.col("lid").alias("own"), F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("set"))
     # a bucket's size is that of the lines that are left, or more
     one, two, meet = _sides(rest.join(hashes, F.col("lid") == F.col("own")).drop("own"))
     agreement = _agreement(names, [c + "_2" for c in names], count) >= _least_agreement(threshold, count)
-    # a pair is looked at in the first band that it shares
-    first = F.lit(BANDS)
-    for b, k in reversed(list(enumerate(KEYS))):
-        first = F.when(F.col(k) == F.col(k + "_2"), b).otherwise(first)
-    once = first == F.col("band")
+    # a pair is looked at in the first band that it shares; written with a function of higher order, which keeps the
+    # condition out of the join's own method: with the sets that is too long for the JVM to compile
+    once = ~F.array_contains(F.slice(F.zip_with("keys", "keys_2", lambda x, y: x == y), F.lit(1), F.col("band")), True)
     # different shingles may share a hash, so that at most the lost members of the smaller loss are missing in common
     common = F.size(F.array_intersect("set", "set_2")) + F.least(F.col("n") - F.size("set"), F.col("n_2") - F.size("set_2"))
     similar = common * (100 + threshold) >= (F.col("n") + F.col("n_2")) * threshold
@@ -253,7 +259,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = _partnered(rest, PACKED, COARSE, threshold)
     if not near.isEmpty():
         some = written(_picked(lines.select("lid", "line"), near), "some")
-        n = some.select("lid", F.size(F.array_distinct(shingles(F.col("line")))).alias("n"))
+        n = some.select("lid", F.size(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("n"))
         fine = written(_signed(some, FINE_ROWS, FINE_BANDS, FINE_PACKED, COARSE).join(n, "lid").join(_picked(signed.select("lid", *[F.col("keys")[b].bitwiseAND(F.lit(LOW)).cast("int").alias(k) for b, k in enumerate(KEYS)], *PACKED), near), "lid"), "fine")
         drop_written(signed, rest)
         tried = written(_similar(written(_fine_pairs(fine, found), "tried"), fine, FINE_PACKED, FINE, threshold), "pairs")

@@ -402,6 +402,28 @@ def test_long_lines_are_cut_without_loss(spark, monkeypatch):
     assert sorted(short) == sorted(line_dedup._signed(whole, 3, 10, line_dedup.PACKED).collect())
 
 
+def test_signing_cuts_whole_characters_and_no_pattern(spark):
+    a, b = "abc\U0001f642\U0001f643é漢 defg\U0001f642", "x\U0001f642y"
+    lines = spark.createDataFrame([(0, a + a + a[:7]), (1, a + a + a + a[:7]), (2, b), (3, b), (4, b + " ")], "lid long, line string")
+    signed = line_dedup._signed(lines, 3, 10, line_dedup.PACKED)
+    assert "regexp" not in signed._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["lid"]: tuple(r[1:]) for r in signed.collect()}
+    # the rotations of a are all shingles of the first two, which are one set
+    assert got[0] == got[1] and got[2] == got[3] and got[3] != got[4] and got[0] != got[2]
+
+
+def test_joins_that_compare_sets_of_lines_keep_them_out_of_their_method(spark, monkeypatch):
+    """With the sets a join's own method is too long for the JVM to compile; one with a lambda has none, and pairs don't come out."""
+    r, seen, write = random.Random(3), {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (seen.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    base = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)]
+    lines = [" ".join(w if r.random() > 0.06 else "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for w in base) for _ in range(60)]
+    line_dedup.line_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    plans = [p for ps in seen.values() for p in ps]
+    joins = [x for p in plans for x in p.splitlines() if "Join " in x and "array_intersect" in x]
+    assert joins and all("lambdafunction" in x for x in joins)
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_line_pairs_are_recalled_and_groups_meet_brute_force(spark, monkeypatch, block):
     """Random edits around 0.8: the components are those of all links, in groups that no line is central in."""
