@@ -31,7 +31,9 @@ from evenhand.llm.common import release, scratch_path, ship, slices, table
 #: Bytes of text whose distinct pieces are encoded together.
 SLICE = 12 << 20
 #: Pieces that the tokenizer gets in one string.
-JOINED = 30
+JOINED = 100
+#: A word's first letters and the rest. The pattern doesn't look back, so the rest is encoded alike wherever it stands.
+_LETTERS = r"(?s)^(?P<head>[A-Za-z]+)(?P<tail>[\x00-@\[-`{-\x7f].*)$"
 _WHITE = r"[\pZ\s\x0b\x1c-\x1f\x85]"
 #: White space beside a space, or at the end: such texts go to the tokenizer as they are.
 _IRREGULAR = rf"{_WHITE} | {_WHITE}|^ |{_WHITE}$|<\|"
@@ -53,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.bare = Tokenizer.from_file(path)
+        self.bare.model._resize_cache(0)  # for what is encoded once only, where looking it up is lost time
         self.base = self.tokenizer.get_vocab_size()
         self.leads = np.zeros(self.base, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -61,8 +65,9 @@ class Encoder:
         self.known, self.turn, self.words = known, 0, pa.array([], pa.large_string())
         self.flat, self.sizes, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], once: bool = False) -> list[list[int]]:
+        tokenizer = self.bare if once else self.tokenizer
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sizes, place): where in ids and sizes the ids of " " + word are, for each of the distinct words."""
@@ -74,16 +79,37 @@ class Encoder:
         if len(self.words) + len(new) > self.known:
             at = self._forget(max(0, self.known // 2 - len(new)), at)
             new = words.filter(pa.array(at < 0))
-        texts = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(new), JOINED), len(new)), pa.int32()), new)
-        flat = _flat(self._ids([" " + x for x in pc.binary_join(texts, pa.scalar(" ", pa.large_string())).to_pylist()]))
-        starts = np.flatnonzero(self.leads[flat])
-        if len(starts) != len(new):
-            raise ValueError("the tokenizer doesn't begin a piece at each space")
+        flat, sizes = self._encoded(new)
         at[at < 0] = len(self.words) + np.arange(len(new))
         self.words, self.used = pa.concat_arrays([self.words, new]), np.append(self.used, np.full(len(new), self.turn))
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, np.diff(np.append(starts, len(flat)))])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         return self.flat, self.sizes, at
 
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of " " + word for all words, number of ids of each); each distinct head and tail is encoded once."""
+        cut = pc.extract_regex(words, _LETTERS)
+        two = pc.is_valid(cut)
+        heads = pc.if_else(two, pc.struct_field(cut, "head"), words).dictionary_encode()
+        tails = pc.struct_field(cut, "tail").filter(two).dictionary_encode()
+        n = len(heads.dictionary)
+        texts = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, n, JOINED), n), pa.int32()), heads.dictionary)
+        flat = _flat(self._ids([" " + x for x in pc.binary_join(texts, pa.scalar(" ", pa.large_string())).to_pylist()], once=True))
+        starts = np.flatnonzero(self.leads[flat])
+        if len(starts) != n:
+            raise ValueError("the tokenizer doesn't begin a piece at each space")
+        ends = self._ids(tails.dictionary.to_pylist(), once=True)
+        sizes = np.concatenate([np.diff(np.append(starts, len(flat))), np.fromiter(map(len, ends), np.int64, len(ends))])
+        flat = np.concatenate([flat, _flat(ends)])
+        # the head of each word, and its tail if it has one
+        cut_at = two.to_numpy(zero_copy_only=False)
+        first = np.arange(len(words)) + np.cumsum(cut_at) - cut_at
+        items = np.empty(len(words) + int(cut_at.sum()), np.int64)
+        items[first] = heads.indices.to_numpy(zero_copy_only=False)
+        items[first[cut_at] + 1] = n + tails.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = sizes[items]
+        at = np.repeat((np.cumsum(sizes) - sizes)[items] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return flat[at], np.add.reduceat(size, first) if len(first) else first
+
     def _forget(self, keep: int, at: np.ndarray) -> np.ndarray:
         """Keep the ``keep`` words that were used last; returns the new places of words for the places ``at``, -1 for none."""
         kept = np.sort(np.argsort(-self.used, kind="stable")[:keep])

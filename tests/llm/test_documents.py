@@ -189,6 +189,21 @@ def test_encoding_by_pieces_is_that_of_whole_texts():
         assert got == [tok.encode(t, add_special_tokens=False).ids + [2] for t in some]
 
 
+def test_heads_of_words_are_encoded_once():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, seen = token_store.Encoder(path, 2), []
+    plain = enc._ids
+    enc._ids = lambda texts, **kind: (seen.extend(texts), plain(texts, **kind))[1]
+    text = "x alphabet, alphabet. alphabet alphabet;\nbeta alphabet's alphabet9 alphabeté \u00e9alphabet, ,alphabet beta,"
+    assert enc.encode(pa.array([text]))[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+    assert sum(x.count(" alphabet ") + x.endswith(" alphabet") for x in seen) == 1
+    assert not [x for x in seen if "alphabet," in x.split() or "alphabet." in x.split()]
+
+
 @pytest.mark.parametrize(("hot", "buffer"), [(10**6, 1 << 19), (3, 64)])
 def test_repeats_meet_brute_force(spark, docs, rows, none, monkeypatch, hot, buffer):
     monkeypatch.setattr(suffix_dedup, "BUFFER", buffer)
