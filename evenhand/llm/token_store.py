@@ -46,8 +46,10 @@ class Encoder:
     In the byte-level pattern a space after a character that isn't white space always begins a new piece,
     whatever went before. The pieces of all texts of a slice are therefore cut at spaces and encoded
     together; the first token of a piece, and no other, begins with the space, which tells the pieces
-    apart. Texts where this doesn't hold (see _IRREGULAR) are encoded whole. Up to ``known`` pieces of
-    earlier slices are kept; beyond that, the half that was used last.
+    apart. Nor does the pattern join letters with what follows: a new piece's first ASCII letters and its
+    rest are encoded apart, each distinct one once. Texts where this doesn't hold (see _IRREGULAR) are
+    encoded whole. Up to ``known`` pieces of earlier slices are kept; beyond that, the half that was used
+    last.
     """
 
     def __init__(self, path: str, end: int, known: int = 1 << 20):
