@@ -45,6 +45,12 @@ FEW_IDS = 500_000
 COARSE, FINE = ROWS * BANDS, FINE_ROWS * FINE_BANDS
 
 
+#: Where the 31 bits of a shingle's hash word begin that order shingles for one minimum. The highest bits, which nearly
+#: always decide, belong to one minimum each. No product is needed, which Spark would check for overflow.
+WINDOWS = (0, 17, 33)
+#: Shingles of one row that reach the minima together, where a signature takes FEW_WORDS words at most; with more words
+#: such rows were no faster.
+STRETCH, FEW_WORDS = 4, 10
 #: Minima are compared by their low seven bits, LANES of eight bits to a long, so that sums over lanes can't
 #: overflow; minima that differ agree by chance once in 128.
 LANES = 7
@@ -65,9 +71,9 @@ def _wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _starts(wide: str) -> str:
-    """SQL of an array of the bytes from 1 where the shingles of a wide line begin; a shorter line is its only one."""
-    return f"sequence(1, greatest(length({wide}) - {4 * SHINGLE - 1}, 1), 4)"
+def _last(wide: str) -> str:
+    """SQL of the byte from 1 where the last shingle of a wide line begins; a shorter line is its only one."""
+    return f"greatest(length({wide}) - {4 * SHINGLE - 1}, 1)"
 
 
 def shingles(line: Column) -> Column:
@@ -77,6 +83,12 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
+def _word(v: int) -> int:
+    """The constant that makes a shingle's v-th hash word, as a signed long."""
+    c = 0x9E3779B97F4A7C15 * (2 * v + 1) % (1 << 64)
+    return c - (1 << 64) if c >> 63 else c
+
+
 def _cut(of: str, size: int) -> str:
     """SQL of an array of stretches of ``of`` that hold all its shingles, ``size`` of them each."""
     return f"transform(sequence(1, greatest(length({of}) - {SHINGLE - 1}, 1), {size}), i -> substr({of}, i, {size + SHINGLE - 1}))"
@@ -86,19 +98,24 @@ def _signed(lines: DataFrame, rows: int, bands: int, names: list[str], first: in
     """(lid, keys, names) of each line: the keys of its bands and its minima in lanes, over all its shingles."""
     whole = lines.select("lid", F.explode(F.expr(f"CASE WHEN length(line) <= {BIG_CHUNK} THEN array(line) ELSE {_cut('line', BIG_CHUNK)} END")).alias("c"))
     chunks = whole.select("lid", F.explode(F.expr(f"CASE WHEN length(c) <= {CHUNK} THEN array(c) ELSE {_cut('c', CHUNK)} END")).alias("c"))
-    each = chunks.select("lid", _wide(F.col("c")).alias("w")).select("lid", "w", F.explode(F.expr(_starts("w"))).alias("i"))
-    hashed = each.select("lid", F.xxhash64(F.expr(f"substring(w, i, {4 * SHINGLE})")).bitwiseAND(F.lit(LOW)).alias("x"))
     count, aggs = rows * bands, []
+    words = range(first // len(WINDOWS), -(-(first + count) // len(WINDOWS)))
+    step = STRETCH if len(words) <= FEW_WORDS else 1
+    wide = chunks.select("lid", _wide(F.col("c")).alias("w")).select("lid", "w", F.expr(_last("w")).alias("z"))
+    each = wide.select("lid", "w", "z", F.explode(F.expr(f"sequence(1, z, {4 * step})")).alias("i"))
+    # what a row has beyond the last shingle is that one again, which no minimum sees
+    cut = each.select("lid", *[F.xxhash64(F.expr(f"substring(w, least(i + {4 * k}, z), {4 * SHINGLE})")).alias(f"x{k}") for k in range(step)])
+    hashed = cut.select("lid", *[F.xxhash64(F.col(f"x{k}").bitwiseXOR(F.lit(_word(v)))).alias(f"w{v}_{k}") for v in words for k in range(step)])
     for i in range(first, first + count):
-        # an odd factor permutes the numbers below 2**31; the product stays below 2**62
-        a, b = (0x5851F42D * (2 * i + 3) | 1) & LOW, (0x14057B7E * (i + 7)) & LOW
-        aggs.append(F.min((F.col("x") * F.lit(a) + F.lit(b)).bitwiseAND(F.lit(LOW)).cast("int")).alias(f"m{i - first}"))
+        v, shift = i // len(WINDOWS), WINDOWS[i % len(WINDOWS)]
+        each_of = [F.shiftleft(f"w{v}_{k}", shift) if shift else F.col(f"w{v}_{k}") for k in range(step)]
+        aggs.append(F.min(F.shiftright(F.least(*each_of) if step > 1 else each_of[0], 33)).alias(f"m{i - first}"))
     keys = F.array(*[F.xxhash64(F.lit(first + b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     packed = []
     for j, name in enumerate(names):
         word = F.lit(0).cast("long")
         for k in range(min(LANES, count - LANES * j)):
-            word = word.bitwiseOR(F.shiftleft(F.col(f"m{LANES * j + k}").bitwiseAND(F.lit(127)).cast("long"), 8 * k))
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{LANES * j + k}").bitwiseAND(F.lit(127)), 8 * k))
         packed.append(word.alias(name))
     return hashed.groupBy("lid").agg(*aggs).select("lid", keys.alias("keys"), *packed)
 

@@ -427,6 +427,31 @@ def test_signing_cuts_whole_characters_and_no_pattern(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[3] != got[4] and got[0] != got[2]
 
 
+@pytest.mark.parametrize("stretch", [1, 4, 7])
+def test_minima_of_lines_take_no_checked_product_and_no_shingle_twice(spark, monkeypatch, stretch):
+    """Rows of several shingles give the signatures of rows of one, and minima agree as often as sets are alike."""
+    r = random.Random(16)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(r.choices(abc, k=n)) for n in [1, 7, 8, 9, 10, 11, 12, 13, 40]]
+    pairs = [("".join(r.choices(abc, k=200)), "".join(r.choices(abc, k=25))) for _ in range(300)]
+    lines += [y for x, end in pairs for y in (x, x[:-25] + end)]
+    whole = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    monkeypatch.setattr(line_dedup, "STRETCH", 1)
+    want = sorted(line_dedup._signed(whole, 3, 10, line_dedup.PACKED).collect())
+    monkeypatch.setattr(line_dedup, "STRETCH", stretch)
+    signed = line_dedup._signed(whole, 3, 10, line_dedup.PACKED)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert " * " not in plan.split("Aggregate")[1].split("Generate")[0]
+    got = sorted(signed.collect())
+    assert got == want
+    # 193 shingles each, 168 or a few more in common: the similarity is 168 / 218 = 0.77
+    bits = [[(row[2 + i // 7] >> 8 * (i % 7)) & 255 for i in range(30)] for row in got[9:]]
+    per = [sum(a[i] == b[i] for a, b in zip(bits[::2], bits[1::2], strict=True)) / 300 for i in range(30)]
+    assert max(y for row in bits for y in row) < 128 and abs(sum(per) / 30 - 168 / 218) < 0.03 and min(per) > 0.6
+    both = [sum(a[i] == b[i] and a[j] == b[j] for a, b in zip(bits[::2], bits[1::2], strict=True)) / 300 for i in range(30) for j in range(i)]
+    assert abs(sum(both) / len(both) - (168 / 218) ** 2) < 0.04
+
+
 def test_joins_that_compare_sets_of_lines_keep_them_out_of_their_method(spark, monkeypatch):
     """With the sets a join's own method is too long for the JVM to compile; one with a lambda has none, and pairs don't come out."""
     r, seen, write = random.Random(3), {}, line_dedup.written
