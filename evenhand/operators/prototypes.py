@@ -2,7 +2,7 @@
 
 M = softmax(-|x - v|), x^ = M V, y^ = clip(M w). The loss adds reconstruction error of both groups, cross
 entropy and the mean gap between the groups' mean assignments. Each evaluation is two distributed sums
-(mean assignments, then loss and analytic gradient); the driver runs L-BFGS with w kept in [0, 1].
+(mean assignments, then loss and analytic gradient), a few of them a core; the driver runs L-BFGS with w kept in [0, 1].
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ class PrototypeRepresentation:
         columns, k = ff.numeric, self.k
         if not columns:
             raise ValueError("there is no numeric column")
-        data = ff.df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), ff.is_priv.alias("a"), ff.is_pos.cast("double").alias("y")).persist()
+        # an evaluation sends a result a task to the driver, so their number follows the cores and not the table
+        tasks = 2 * ff.df.sparkSession.sparkContext.defaultParallelism
+        data = ff.df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), ff.is_priv.alias("a"), ff.is_pos.cast("double").alias("y")).coalesce(tasks).persist()
         dim = len(columns)
 
         def summed(fn, size: int) -> np.ndarray:
@@ -103,13 +105,10 @@ class PrototypeRepresentation:
                     if b.num_rows:
                         x = b.column(0).flatten().to_numpy().reshape(-1, dim)
                         total = total + fn(x, b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array([total])], names=["t"])
 
-            rows = data.mapInArrow(part, "i long, t double").groupBy("i").agg(F.sum("t")).collect()  # one row a parameter
-            out = np.zeros(size)
-            for r in rows:
-                out[r[0]] = r[1]
-            return out
+            rows = data.mapInArrow(part, "t array<double>").collect()  # one row a task
+            return np.sum([r[0] for r in rows], axis=0) if rows else np.zeros(size)
 
         def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
             v, w = theta[: k * dim].reshape(k, dim), theta[k * dim :]

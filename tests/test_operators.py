@@ -354,3 +354,18 @@ def test_a_query_meets_few_leaves():
     for r in range(0, len(ask), 50):
         within = np.unique(leaf[((x - ask[r]) ** 2).sum(axis=1) <= far[r]])
         assert set(within) - {leaf[0]} <= set(leaves[rows == r])
+
+
+def test_prototype_tasks_follow_the_cores(spark):
+    sc = spark.sparkContext
+    rows = [(i, float(i % 7), float(i % 5), i % 2, int(i % 3 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, p double, q double, g int, y int").repartition(40)
+    sc.setJobGroup("prototypes", "")
+    try:
+        with pytest.warns(UserWarning, match="converged"):
+            prototypes.PrototypeRepresentation(k=2, steps=2).fit(FairFrame(df, "g", "y", key="id"))
+        track = sc.statusTracker()
+        stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("prototypes") for s in track.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len([s for s in stages if s]) > 6 and sum(s.numTasks >= 40 for s in stages if s) <= 3
