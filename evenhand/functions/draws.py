@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, *tags: Column | str | int) -> Column:
+def uniform(seed: Column | int, *tags: Column | str | int) -> Column:
     """A uniform number in [0, 1) from the md5 of seed and tags (strings are literals)."""
-    parts = [F.lit(str(seed)), *[t.cast("string") if isinstance(t, Column) else F.lit(str(t)) for t in tags]]
+    parts = [seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[t.cast("string") if isinstance(t, Column) else F.lit(str(t)) for t in tags]]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def pick(seed: int, n: Column, *tags: Column | str | int) -> Column:
+def pick(seed: Column | int, n: Column, *tags: Column | str | int) -> Column:
     """A uniform integer from 0 to n - 1."""
     return F.floor(uniform(seed, *tags) * n).cast("long")
 

@@ -47,9 +47,9 @@ def _cast(value: Column, kind: T.DataType) -> Column:
     return F.rint(value).cast(kind) if isinstance(kind, T.IntegralType) else value.cast(kind)
 
 
-def _new_rows(plan: DataFrame) -> DataFrame:
+def _new_rows(plan: DataFrame, by: tuple[str, ...] = ("cell",)) -> DataFrame:
     """(cell, n, j): j from 1 to need for cells that need rows."""
-    return numbered(plan.where("need > 0 AND n > 0").select("cell", "n", "need"), F.col("need"), "j", first=1).drop("need")
+    return numbered(plan.where("need > 0 AND n > 0").select(*by, "n", "need"), F.col("need"), "j", first=1).drop("need")
 
 
 def _side(df: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:
@@ -132,18 +132,19 @@ def side_smote(ff: FairFrame, seed: int = 42, k: int = 5) -> Oversampled:
     return _finish(ff, _smote_rows(ff, df.where(minority), plan, seed, k, name), plan)
 
 
-def _smote_rows(ff: FairFrame, pool: DataFrame, plan: DataFrame, seed: int, k: int, name: str) -> DataFrame:
+def _smote_rows(ff: FairFrame, pool: DataFrame, plan: DataFrame, seed: Column | int, k: int, name: str, by: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """``by``: what tells cells apart. Parents are indexed by the last key of the frame, neighbours are told by the first."""
     key = ff.key[0]
-    parents = indexed(pool, ["cell"], key)
-    j = _new_rows(plan).withColumn("idx", pick(seed, F.col("n"), name, F.col("cell"), F.col("j"), "parent"))
-    base = j.join(parents, ["cell", "idx"]).withColumn("_k", F.col(key).cast("long"))
-    nn = knn(pool, key, ff.numeric, k, within=["cell"], queries=base.select(key)).select(F.col("key").alias("_k"), F.col("rank").alias("i"), F.col("nn_key").alias("ka"))
+    parents = indexed(pool, list(by), ff.key[-1])
+    j = _new_rows(plan, by).withColumn("idx", pick(seed, F.col("n"), name, F.col("cell"), F.col("j"), "parent"))
+    base = j.join(parents, [*by, "idx"]).withColumn("_k", F.col(key).cast("long"))
+    nn = knn(pool, key, ff.numeric, k, within=list(by), queries=base.select(key)).select(F.col("key").alias("_k"), F.col("rank").alias("i"), F.col("nn_key").alias("ka"))
     kk = F.least(F.lit(k), F.col("n") - 1)
     x = base.withColumn("i", pick(seed, kk, name, F.col("cell"), F.col("j"), "neighbour") + 1).join(nn, ["_k", "i"], "left")
-    return _interpolated(ff, x, seed, name)
+    return _interpolated(ff, x, seed, name, by)
 
 
-def _interpolated(ff: FairFrame, x: DataFrame, seed: int, name: str) -> DataFrame:
+def _interpolated(ff: FairFrame, x: DataFrame, seed: Column | int, name: str, by: tuple[str, ...] = ("cell",)) -> DataFrame:
     """New rows between a parent and the neighbour in ``ka``; without one the parent is duplicated."""
     key = ff.key[0]
     x = x.join(_side(ff.df, key, ff.others, "a_"), F.col("ka") == F.col("a_key"), "left")
@@ -159,7 +160,7 @@ def _interpolated(ff: FairFrame, x: DataFrame, seed: int, name: str) -> DataFram
             out.append(F.when(F.col("ka").isNull() | (u < 0.5), F.col(c)).otherwise(F.col(f"a_{c}")).alias(c))
         else:
             out.append(F.col(c))
-    return x.select("cell", "j", *out)
+    return x.select(*by, "j", *out)
 
 
 def typology_need(ff: FairFrame, alpha: float = 1.0) -> int:

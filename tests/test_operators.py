@@ -369,3 +369,20 @@ def test_prototype_tasks_follow_the_cores(spark):
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len([s for s in stages if s]) > 6 and sum(s.numTasks >= 40 for s in stages if s) <= 3
+
+
+def test_members_share_their_jobs(spark):
+    sc = spark.sparkContext
+    rng = np.random.default_rng(8)
+    rows = [(i, float(x), int(x + rng.normal() > 0.6), int(rng.random() < 0.5)) for i, x in enumerate(rng.normal(size=80))]
+    ff = FairFrame(spark.createDataFrame(rows, "id long, x double, g int, y int"), "g", "y", key="id")
+    jobs = []
+    for budget in (1, 4):
+        sc.setJobGroup(f"members {budget}", "")
+        try:
+            m = masking.MaskedClassifier("id", budget=budget).fit(ff)
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"members {budget}")))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(m.members) == budget
+    assert jobs[0] and jobs[1] < 2 * jobs[0]
